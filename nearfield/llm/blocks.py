@@ -13,8 +13,8 @@ MAX_BROADCAST_KEYS = 10_000
 MAX_VERSIONS = 1_000
 
 
-def with_blocks(log: DataFrame, block_rows: int) -> DataFrame:
-    """The log with `n_rows`, `n_blocks` of its namespace: ceil(keys / block_rows).
+def with_blocks(log: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+    """The log with `n_rows`, `n_blocks` of its namespace: ceil(keys / block_rows); and how many have several blocks.
 
     The lookup holds only namespaces above block_rows, so at most rows / block_rows of them. Versions of a key stay in
     the log unless some key has more than MAX_VERSIONS; then only live rows go on.
@@ -25,8 +25,10 @@ def with_blocks(log: DataFrame, block_rows: int) -> DataFrame:
     rows = large.limit(MAX_BROADCAST_KEYS + 1).collect()
     if any(r.v > MAX_VERSIONS for r in rows):
         log = live_rows(log)
+    n_large = sum(r.n_rows > block_rows for r in rows) if len(rows) <= MAX_BROADCAST_KEYS else large.count()
     large = large.select(F.col("namespace").alias("_ns"), "n_rows", F.ceil(F.col("n_rows") / block_rows).cast("int").alias("n_blocks"))
     if len(rows) <= MAX_BROADCAST_KEYS:
         large = F.broadcast(spark.createDataFrame([(r.namespace, r.n_rows, -(-r.n_rows // block_rows)) for r in rows], "_ns string, n_rows long, n_blocks int"))
     out = log.join(large, F.col("namespace").eqNullSafe(F.col("_ns")), "left").drop("_ns")
-    return out.withColumns({"n_rows": F.coalesce("n_rows", F.lit(0)), "n_blocks": F.coalesce("n_blocks", F.lit(1))})
+    out = out.withColumns({"n_rows": F.coalesce("n_rows", F.lit(0)), "n_blocks": F.coalesce("n_blocks", F.lit(1))})
+    return out, n_large

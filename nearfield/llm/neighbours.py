@@ -160,7 +160,7 @@ def nearest(log: DataFrame, is_query: Column, k: int = 10, m: int = 10, stop: fl
     queries visit all blocks and the block results, k a block, are merged.
     """
     factor = chi2_quantile(stop, m)
-    rows = with_blocks(log.select("namespace", "item_id", "seq", "vector", F.coalesce(is_query, F.lit(False)).alias("is_query")), block_rows)
+    rows, _ = with_blocks(log.select("namespace", "item_id", "seq", "vector", F.coalesce(is_query, F.lit(False)).alias("is_query")), block_rows)
     home = F.pmod(F.xxhash64("item_id"), F.col("n_blocks")).cast("int")
     rows = (
         rows.withColumn("home", home)

@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.llm.near_copies import near_copy_groups, near_copy_pairs
 from nearfield.llm.neighbours import nearest
 from nearfield.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items of one namespace with a cosine of at least 0.97."""
+    return near_copy_pairs(table(spark, sf_dir, "vectors"), 0.97)
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per item that has near copies: its group and number of links."""
+    return near_copy_groups(table(spark, sf_dir, "vectors"), 0.97)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest of each probe."""
     vectors, probes = table(spark, sf_dir, "vectors"), table(spark, sf_dir, "knn_probes")
@@ -30,7 +41,7 @@ def p4_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_knn": p4_knn}
+    return {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_knn": p4_knn}
 
 
 def oracle_sql() -> dict[str, str]:
