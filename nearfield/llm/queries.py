@@ -7,11 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.llm.mixture import similarity_clusters
 from nearfield.llm.near_copies import near_copy_groups, near_copy_pairs
 from nearfield.llm.neighbours import nearest
 from nearfield.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the topics of at least 8 vectors, with the topic's smallest seq."""
+    members, _, _ = similarity_clusters(table(spark, sf_dir, "vectors"))
+    return members.select("namespace", "item_id", "cluster_seq")
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each topic's size, number of namespaces and most typical items."""
+    members, typical, _ = similarity_clusters(table(spark, sf_dir, "vectors"))
+    size = members.groupBy("cluster_seq").agg(F.count(F.lit(1)).alias("size"), F.countDistinct("namespace").alias("n_namespaces"))
+    items = typical.filter("place <= 5").groupBy("cluster_seq").agg(F.array_sort(F.collect_list(F.struct("place", "namespace", "item_id"))).alias("typical"))
+    return size.join(items, "cluster_seq", "left")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of items of one namespace with a cosine of at least 0.97."""
     return near_copy_pairs(table(spark, sf_dir, "vectors"), 0.97)
@@ -41,7 +56,7 @@ def p4_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_knn": p4_knn}
+    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_knn": p4_knn}
 
 
 def oracle_sql() -> dict[str, str]:
