@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.llm.diverse import varied_subset
 from nearfield.llm.mixture import similarity_clusters
 from nearfield.llm.near_copies import near_copy_groups, near_copy_pairs
 from nearfield.llm.neighbours import nearest
@@ -37,6 +38,11 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copy_groups(table(spark, sf_dir, "vectors"), 0.97)
 
 
+def p3_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """256 items that cover the variety of the live usable vectors."""
+    return varied_subset(table(spark, sf_dir, "vectors"), 256)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest of each probe."""
     vectors, probes = table(spark, sf_dir, "vectors"), table(spark, sf_dir, "knn_probes")
@@ -56,7 +62,7 @@ def p4_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_knn": p4_knn}
+    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_groups": p2_groups, "p3_varied": p3_varied, "p4_found": p4_found, "p4_knn": p4_knn}
 
 
 def oracle_sql() -> dict[str, str]:
