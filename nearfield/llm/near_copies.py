@@ -59,6 +59,12 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
+def _majority(fp: np.ndarray) -> np.ndarray:
+    """The fingerprint of the bits that most rows have."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)
+    return np.packbits(bits.mean(0) > 0.5).view(np.uint64)
+
+
 class VantageTree:
     """Vantage points with the distance that parts near from far; built on fingerprints, split where few rows lie at the boundary."""
 
@@ -71,20 +77,23 @@ class VantageTree:
             if len(rows) > leaf:
                 probe = rows if len(rows) <= 2048 else rng.choice(rows, 2048, replace=False)
                 best = (max_overlap, 0, None)
-                for c in rng.choice(rows, 6):
-                    d = np.sort(hamming(fp[c : c + 1], fp[probe])[0].astype(np.int64))
-                    mu = np.unique(np.linspace(d[0], d[-1], 40).astype(np.int64))
+                for c in rng.choice(rows, 8):
+                    # the majority of a row's surroundings lies nearer to all of them than the row itself
+                    around = probe[hamming(fp[c : c + 1], fp[probe])[0] <= 0.3 * 64 * fp.shape[1]]
+                    point = _majority(fp[around]) if len(around) > 2 else fp[c]
+                    d = np.sort(hamming(point[None], fp[probe])[0].astype(np.int64))
+                    mu = np.unique(np.linspace(d[0], d[-1], 60).astype(np.int64))
                     near = np.searchsorted(d, mu, "right") / len(d)
                     both = (np.searchsorted(d, mu + r, "right") - np.searchsorted(d, mu - r, "right")) / len(d)
-                    cost = both + 0.1 * np.abs(near - 0.5) + (np.minimum(near, 1 - near) < 0.02)
+                    cost = both + 0.02 * np.abs(near - 0.5) + (np.minimum(near, 1 - near) < 0.005)
                     k = int(np.argmin(cost))
                     if cost[k] < best[0]:
-                        best = (cost[k], int(mu[k]), c)
+                        best = (cost[k], int(mu[k]), point)
                 if best[2] is not None:
-                    d = hamming(fp[best[2] : best[2] + 1], fp[rows])[0]
+                    d = hamming(best[2][None], fp[rows])[0]
                     inside = d <= best[1]
                     if inside.any() and not inside.all():
-                        self.nodes.append([fp[best[2]], best[1], 0, 0])
+                        self.nodes.append([best[2], best[1], 0, 0])
                         at = len(self.nodes) - 1
                         self.nodes[at][2], self.nodes[at][3] = build(rows[inside]), build(rows[~inside])
                         return at
