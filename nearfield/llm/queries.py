@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.diverse import varied_subset
+from nearfield.llm.encoding import restore_encoding
+from nearfield.llm.mix import mixture
 from nearfield.llm.mixture import similarity_clusters
 from nearfield.llm.near_copies import near_copy_groups, near_copy_pairs
 from nearfield.llm.neighbours import nearest
+from nearfield.llm.pack import packed_windows
+from nearfield.llm.split import split_elements
 from nearfield.sources.tables import table
 
 
@@ -61,9 +65,44 @@ def p4_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "vectors"), F.col("seq") % 20 == 0, k=10)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that had to be split: those of more than 2,000 code points."""
+    return split_elements(table(spark, sf_dir, "embed_requests")).select("request_id", "text_pos").distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of those elements."""
+    return split_elements(table(spark, sf_dir, "embed_requests"))
+
+
+def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a window of 2,048 tokens."""
+    return packed_windows(table(spark, sf_dir, "documents"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' copies in a mixture of the target shares."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares wanted and reached."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with wrongly decoded text."""
+    return restore_encoding(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents with their text as far as it can be had."""
+    return restore_encoding(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_groups": p2_groups, "p3_varied": p3_varied, "p4_found": p4_found, "p4_knn": p4_knn}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_groups, p3_varied, p4_found, p4_knn, p5_found, p5_pieces, p7_windows, p8_mixture, p8_report, p9_found, p9_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": "SELECT DISTINCT request_id, CAST(text_pos - 1 AS INTEGER) AS text_pos FROM (SELECT request_id, generate_subscripts(texts, 1) AS text_pos, unnest(texts) AS t FROM embed_requests) WHERE length(t) > 2000"}
