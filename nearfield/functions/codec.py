@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
-@arrow_udf("array<float>")
+@arrow_udf(ArrayType(FloatType()))
 def decode_blob(col: pa.Array) -> pa.Array:
     """Null for a null, empty or malformed blob (length not a multiple of 4)."""
     sizes = np.array([-1 if b is None else len(b) for b in col.to_pylist()], np.int64)
@@ -17,7 +18,7 @@ def decode_blob(col: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(data, "<f4")), mask=pa.array(~good))
 
 
-@arrow_udf("binary")
+@arrow_udf(BinaryType())
 def encode_vector(col: pa.Array) -> pa.Array:
     """Null for a null vector; null components become NaN."""
     off = np.asarray(col.offsets).astype(np.int64)
