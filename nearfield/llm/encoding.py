@@ -70,6 +70,7 @@ def garble(text: str, chain: str) -> str | None:
     return raw.decode(b, "replace") if b in MULTI else "".join(map(_decoder(b).__getitem__, raw))
 
 
+CP1252 = {c for c in _decoder("cp1252") if ord(c) > 0x9F}
 CHAINS = [*(f"utf8:utf_8>{b}" for b in SINGLE + MULTI), "twice:utf_8>cp1252", *(f"swap:{a}>{b}" for a, b in SWAPPED)]
 STRONG = [c for c in CHAINS if not c.startswith("swap:")]
 
@@ -155,7 +156,7 @@ class Detector:
                 new = [ch for ch in fixed if ord(ch) > 127 and ch != "�"]
                 # three or four bytes that fit are evidence enough; two must give a character in use
                 sure = any("\x80" <= ch <= "\x9f" and ch != "\x85" for ch in run)
-                good = sum((sure and (ord(ch) < 0x250 or 0x370 <= ord(ch) < 0x530)) or ch in self.m.known or 0xA0 <= ord(ch) < 256 or (ord(ch) >= 0x800 and category(ch) not in ("Cn", "Co", "Cs")) for ch in new)
+                good = sum((sure and (ord(ch) < 0x250 or 0x370 <= ord(ch) < 0x530)) or ch in self.m.known or 0xA0 <= ord(ch) < 256 or ch in CP1252 or (ord(ch) >= 0x800 and category(ch) not in ("Cn", "Co", "Cs")) for ch in new)
                 if new and good >= 0.9 * len(new):
                     out.append((i + 1, fixed, share))
         return tuple(out)
@@ -176,7 +177,9 @@ class Detector:
                 context = text[max(0, m.start() - 1) : m.end() + 1]
                 s = self.m.scores(context)
                 best = max(options, key=lambda o: (round(o[2], 1), s[o[0]]))
-                if best[2] < 0.6 or s[best[0]] < s[0] + self.margin:
+                # one restored character of two bytes needs the classifier's word; more evidence needs it not to object
+                few = sum(ord(c) > 127 for c in best[1]) == 1 and max(best[1]) < "\u0800"
+                if best[2] < 0.6 or s[best[0]] < s[0] + (self.margin if few else -3 * self.margin):
                     continue
                 out += [text[last : m.start()], best[1]]
                 last, changed = m.end(), True

@@ -64,8 +64,10 @@ def pack_windows(sizes: np.ndarray, sources: np.ndarray, capacity: int, shares:
             ready = [s for s, f in enumerate(fits) if f]
             if not ready:
                 break
-            # near the end the best fit decides, so that little room is left over
-            s = max(ready, key=lambda s: (fits[s], deficits[s])) if room <= capacity // 8 else max(ready, key=lambda s: deficits[s])
+            # an item that closes the window almost exactly is taken from any source, as is the best fit near the end
+            s = max(ready, key=lambda s: (fits[s], deficits[s]))
+            if room > capacity // 8 and fits[s] < room - capacity // 128:
+                s = max(ready, key=lambda s: deficits[s])
             window.append(queues[s].take(fits[s]))
             deficits[s] -= fits[s]
             room -= fits[s]
