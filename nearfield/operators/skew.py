@@ -92,8 +92,8 @@ def key_counts(df: DataFrame, key: str, **kw: int) -> DataFrame:
 def heavy_keys(df: DataFrame, key: str, share: float, **kw: int) -> DataFrame:
     """(key, n, total) of the values that hold more than `share` of all rows; fewer than 1 / share of them can."""
     counts = key_counts(df, key, **kw)
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return counts.join(F.broadcast(total)).filter(F.col("n") > F.col("total") * F.lit(share))  # one row
+    total = df.count()
+    return counts.withColumn("total", F.lit(total)).filter(F.col("n") > total * share)
 
 
 PROFILE = "namespace string, dim int, n_rows long, n_live long, n_usable long, total binary, last_seq long, last_item_id string, last_created_at timestamp"
