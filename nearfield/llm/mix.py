@@ -19,10 +19,11 @@ def source_rates(counted: DataFrame, targets: DataFrame, total_tokens: float | N
     have = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens_in"))
     want = targets.select(normal_source("source").alias("source"), "target_share", "max_repeats").dropna().filter("target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     t = want.join(have, "source", "left").withColumn("tokens_in", F.coalesce("tokens_in", F.lit(0)))
-    met = t.filter("tokens_in > 0").agg(F.sum("target_share").alias("all_shares"), F.min(F.col("max_repeats") * F.col("tokens_in") / F.col("target_share")).alias("feasible"))
-    size = F.lit(total_tokens) / F.col("all_shares") if total_tokens else F.col("feasible")
+    met = t.filter("tokens_in > 0").agg(F.sum("target_share").alias("shares"), F.min(F.col("max_repeats") * F.col("tokens_in") / F.col("target_share")).alias("feasible")).first()
+    shares = met.shares or 1.0
+    size = F.lit(float(total_tokens / shares if total_tokens else met.feasible or 0.0))
     rate = F.when(F.col("tokens_in") > 0, F.least(F.col("target_share") * size / F.col("tokens_in"), F.col("max_repeats").cast("double"))).otherwise(0.0)
-    return t.crossJoin(F.broadcast(met)).select("source", (F.col("target_share") / F.col("all_shares")).alias("wanted"), "target_share", "max_repeats", "tokens_in", rate.alias("rate"))  # met is one row
+    return t.select("source", (F.col("target_share") / F.lit(float(shares))).alias("wanted"), "target_share", "max_repeats", "tokens_in", rate.alias("rate"))
 
 
 def mixture(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, tokenizer_path: str = DEFAULT_TOKENIZER, seed: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -40,6 +41,5 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: float | None = No
     chosen = counted.join(F.broadcast(rates.select("source", "rate")), "source").withColumn("n", n).filter("n > 0")  # rates: a row a target
     copies = chosen.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"), "n_tokens")
     out = chosen.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("tokens_out"), F.max("n").alias("most_copies"))
-    total = out.agg(F.sum("tokens_out").alias("all_out"))
-    report = rates.join(out, "source", "left").crossJoin(F.broadcast(total))
+    report = rates.join(out, "source", "left").withColumn("all_out", F.lit(out.agg(F.sum("tokens_out")).first()[0]))
     return copies, report.select("source", "target_share", F.when(F.col("tokens_in") > 0, F.col("wanted")).otherwise(0.0).alias("wanted_share"), F.coalesce(F.col("tokens_out") / F.col("all_out"), F.lit(0.0)).alias("actual_share"), "max_repeats", "rate", "tokens_in", F.coalesce("tokens_out", F.lit(0)).alias("tokens_out"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))

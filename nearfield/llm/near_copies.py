@@ -162,11 +162,11 @@ def near_copy_classes(log: DataFrame, cosine: float = 0.97, block_rows: int = 32
 
     members: namespace, cls, item_id, seq - the items of each class of equal vectors that has a partner or two items;
     links: a, b - pairs of classes whose cosine reaches the threshold. cls is a seq of the class. Null item_ids form an
-    item. Null, empty, non-finite and zero vectors take no part.
+    item. Null, empty, non-finite and zero vectors take no part, nor do rows without seq.
 
     sample_rows bounds the sample on which the shard tree is built; it decides the layout alone, never the result.
     """
-    log = log.select("namespace", "item_id", "seq", "vector")
+    log = log.filter("seq IS NOT NULL").select("namespace", "item_id", "seq", "vector")
     rows, n_large = with_blocks(log, block_rows)
     r, r_head = radius(cosine, BITS), radius(cosine, HEAD * 64)
     trees: dict[int, VantageTree] = {}

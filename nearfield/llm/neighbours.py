@@ -154,13 +154,13 @@ def nearest(log: DataFrame, is_query: Column, k: int = 10, m: int = 10, stop: fl
     log: namespace, item_id, vector, seq (other columns are ignored). `is_query` must hold for all versions of a key or
     depend on seq alone. Columns: query_seq, place, item_id, seq, cosine; equal cosines by smaller seq first. A query
     without any other item in its namespace gives no row. Null or empty vectors, those with null, NaN or infinite
-    components and those of norm 0 take no part; a null namespace is a namespace, a null item_id an item.
+    components and those of norm 0 take no part; a null namespace is a namespace, a null item_id an item. Rows without seq are no part of the log.
 
     Every row is indexed. Namespaces above block_rows are split by a hash of item_id into blocks with a tree each; their
     queries visit all blocks and the block results, k a block, are merged.
     """
     factor = chi2_quantile(stop, m)
-    rows, _ = with_blocks(log.select("namespace", "item_id", "seq", "vector", F.coalesce(is_query, F.lit(False)).alias("is_query")), block_rows)
+    rows, _ = with_blocks(log.filter("seq IS NOT NULL").select("namespace", "item_id", "seq", "vector", F.coalesce(is_query, F.lit(False)).alias("is_query")), block_rows)
     home = F.pmod(F.xxhash64("item_id"), F.col("n_blocks")).cast("int")
     rows = (
         rows.withColumn("home", home)

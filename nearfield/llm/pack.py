@@ -94,7 +94,9 @@ def packed_windows(docs: DataFrame, capacity: int = 2_048, shares: dict[str, flo
     number = {s: i for i, s in enumerate(names)}
     share = np.array([shares[s] for s in names] + [max(0.0, 1 - sum(shares.values()))])
 
-    def place(t: dict[str, list], deficits: np.ndarray, node: int, last: bool) -> Iterator[pa.RecordBatch]:
+    def place(t: dict[str, list], deficits: np.ndarray, node: int, last: bool, level: int = 0, block: int = 0) -> Iterator[pa.RecordBatch]:
+        # the parts of an id: round, task, block of the task, window of the block
+        prefix = ((level << 24 | node) << 10 | block) << 24
         size, src = np.array(t["n_tokens"], np.int64), np.array([number.get(s, len(names)) for s in t["source"]], int)
         out: list[tuple[int, int, int]] = []
         for w, items in enumerate(pack_windows(size, src, capacity, share, deficits)):
@@ -107,7 +109,7 @@ def packed_windows(docs: DataFrame, capacity: int = 2_048, shares: dict[str, flo
         pick = lambda c, kind: pa.array([t[c][k] for k in i], kind)
         for s in range(0, len(i), 8192):
             e = slice(s, s + 8192)
-            full_cols = [pa.array(np.where(w >= 0, (node << 32) + w, -1)), pa.array(slot.astype(np.int32)), pick("doc_id", pa.int64()), pick("piece", pa.int32()), pick("token_start", pa.int64()), pa.array(size[i]), pick("source", pa.string()), pa.array(np.zeros(len(i))), pa.array(np.full(len(i), node))]
+            full_cols = [pa.array(np.where(w >= 0, prefix + w, -1)), pa.array(slot.astype(np.int32)), pick("doc_id", pa.int64()), pick("piece", pa.int32()), pick("token_start", pa.int64()), pa.array(size[i]), pick("source", pa.string()), pa.array(np.zeros(len(i))), pa.array(np.full(len(i), node))]
             yield pa.RecordBatch.from_arrays([c[e] for c in full_cols], NAMES)
         if not last:
             k = len(share)
@@ -119,10 +121,10 @@ def packed_windows(docs: DataFrame, capacity: int = 2_048, shares: dict[str, flo
         for b in batches:
             block.append(b)
             if sum(x.num_rows for x in block) >= 65_536:
-                yield from place(_cut(block), deficits, node + (n_blocks << 16), False)
+                yield from place(_cut(block), deficits, node, False, block=n_blocks)
                 block, n_blocks, deficits = [], n_blocks + 1, np.zeros(len(share))
         if block:
-            yield from place(_cut(block), deficits, node + (n_blocks << 16), False)
+            yield from place(_cut(block), deficits, node, False, block=n_blocks)
 
     def _cut(block: list[pa.RecordBatch]) -> dict[str, list]:
         t = pa.Table.from_batches(block)
@@ -147,7 +149,7 @@ def packed_windows(docs: DataFrame, capacity: int = 2_048, shares: dict[str, flo
                 state = t.filter(pa.array(w == -2))
                 np.add.at(deficits, state["slot"].to_numpy(), state["deficit"].to_numpy())
                 loose = t.filter(pa.array(w == -1))
-                yield from place({c: loose[c].to_pylist() for c in ("doc_id", "source", "piece", "token_start", "n_tokens")}, deficits, x | level << 24, last)
+                yield from place({c: loose[c].to_pylist() for c in ("doc_id", "source", "piece", "token_start", "n_tokens")}, deficits, x, last, level)
 
         return run
 

@@ -12,7 +12,7 @@ from nearfield.llm.near_copies import VantageTree, fingerprints, hamming, near_c
 from nearfield.llm.neighbours import ProjectedTree, chi2_quantile, nearest
 
 SCHEMA = "namespace string, item_id string, seq long, vector array<float>"
-DIRT = [("a", "null", 9001, None), ("a", "empty", 9002, []), ("a", "zero", 9003, [0.0] * 8), ("a", "nan", 9004, [float("nan")] * 8), ("a", "inf", 9005, [float("inf")] * 8), ("a", "hole", 9006, [None] + [1.0] * 7), (None, None, 9007, [1.0] * 8), (None, "x", 9008, [1.0] * 8)]
+DIRT = [("a", "null", 9001, None), ("a", "empty", 9002, []), ("a", "zero", 9003, [0.0] * 8), ("a", "nan", 9004, [float("nan")] * 8), ("a", "inf", 9005, [float("inf")] * 8), ("a", "hole", 9006, [None] + [1.0] * 7), (None, None, 9007, [1.0] * 8), (None, "x", 9008, [1.0] * 8), ("a", "no seq", None, [1.0] * 8)]
 
 
 def unit(x):
@@ -43,7 +43,7 @@ def log(spark, rows):
 def live(rows):
     last = {}
     for r in rows:
-        if (r[0], r[1]) not in last or last[r[0], r[1]][2] <= r[2]:
+        if r[2] is not None and ((r[0], r[1]) not in last or last[r[0], r[1]][2] <= r[2]):
             last[r[0], r[1]] = r
     return [r for r in last.values() if r[3] and all(x is not None and np.isfinite(x) for x in r[3]) and any(r[3])]
 
