@@ -156,7 +156,7 @@ class Detector:
                 new = [ch for ch in fixed if ord(ch) > 127 and ch != "�"]
                 # three or four bytes that fit are evidence enough; two must give a character in use
                 sure = any("\x80" <= ch <= "\x9f" and ch != "\x85" for ch in run)
-                good = sum((sure and (ord(ch) < 0x250 or 0x370 <= ord(ch) < 0x530)) or ch in self.m.known or 0xA0 <= ord(ch) < 256 or ch in CP1252 or (ord(ch) >= 0x800 and category(ch) not in ("Cn", "Co", "Cs")) for ch in new)
+                good = sum((sure and (ord(ch) < 0x180 or 0x370 <= ord(ch) < 0x530)) or ch in self.m.known or 0xA0 <= ord(ch) < 256 or ch in CP1252 or (ord(ch) >= 0x800 and category(ch) not in ("Cn", "Co", "Cs")) for ch in new)
                 if new and good >= 0.9 * len(new):
                     out.append((i + 1, fixed, share))
         return tuple(out)
