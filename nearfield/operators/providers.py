@@ -68,13 +68,25 @@ def normalised(v: np.ndarray, how: str) -> np.ndarray:
     return v / np.maximum(n, 1e-9) if how == "clip" else v
 
 
+def execution_providers(preferred: str | None, available: list[str]) -> list[str]:
+    """Of a comma-separated preference those that are available, in its order; the CPU always comes last."""
+    cpu = "CPUExecutionProvider"
+    wanted = [p.strip() for p in (preferred or "").split(",")]
+    return [p for p in dict.fromkeys(wanted) if p in available and p != cpu] + [cpu]
+
+
+def model_dir(key: str, env: dict[str, str], root: str = "models") -> str:
+    """Folder of a provider's model: NEARFIELD_MODEL_DIR, else a folder of the resolved provider's name under root."""
+    return env.get("NEARFIELD_MODEL_DIR") or os.path.join(root, resolve(key).key)
+
+
 @lru_cache(2)
 def _onnx(model_dir: str):
     """(tokenizer, session), once a worker process."""
     import onnxruntime
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(os.path.join(model_dir, "tokenizer.json")), onnxruntime.InferenceSession(os.path.join(model_dir, "model.onnx"), providers=["CPUExecutionProvider"])
+    return Tokenizer.from_file(os.path.join(model_dir, "tokenizer.json")), onnxruntime.InferenceSession(os.path.join(model_dir, "model.onnx"), providers=execution_providers(os.environ.get("ONNX_EP_PREFERENCE"), onnxruntime.get_available_providers()))
 
 
 def encode_batch(texts: list[str], tokenizer, session, spec: Spec) -> np.ndarray:

@@ -72,6 +72,52 @@ def verdict(endpoint: str, body: Column, ready: bool = True) -> Column:
     return out
 
 
+# fixed values: the error texts of the tool interface
+TOOL_NO_TEXTS = "'texts' must be a non-empty array"
+TOOL_ITEMS = "items must be 1-100 entries"
+TOOL_NO_QUERY = "query must be non-empty"
+TOOL_NO_IDS = "ids must be non-empty"
+TOOL_NO_NAMESPACE = "namespace is required"
+TOOL_INVALID = "invalid arguments"
+FALSY = ("null", "false", "0", "0.0", '""', "[]", "{}")
+
+
+def tool_error(tool: str, arguments: Column) -> Column:
+    """Error of a tool call with JSON arguments, null if it is accepted: looser rules than those of the requests.
+
+    Only emptiness is tested where a request tests types: a string of ids passes, and so does a blank namespace. Values that
+    the call would break on (a query that is no string, numbers that can't be read, items without a length, arguments
+    that are no object) are invalid arguments.
+    """
+    v = F.try_parse_json(arguments)
+
+    def kind(path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("ABSENT"))
+
+    def empty(path: str) -> Column:
+        value = F.try_variant_get(v, path, "variant")
+        return value.isNull() | F.to_json(value).isin(*FALSY)
+
+    def number(path: str) -> Column:
+        return (kind(path) == "ABSENT") | F.try_variant_get(v, path, "double").isNotNull()
+
+    def listed(path: str) -> Column:
+        return kind(path).startswith("ARRAY") & ~empty(path)
+
+    size = F.when(kind("$.items").startswith("ARRAY"), F.size(F.try_variant_get(v, "$.items", "array<variant>"))).when(kind("$.items") == "STRING", F.char_length(F.try_variant_get(v, "$.items", "string"))).when(kind("$.items").startswith("OBJECT"), F.size(F.try_variant_get(v, "$.items", "map<string,variant>")))
+    rules = {
+        "embed": [(~listed("$.texts"), TOOL_NO_TEXTS), (F.size(F.try_variant_get(v, "$.texts", "array<variant>")) > LIMITS.batch, TOO_MANY)],
+        "index": [(empty("$.items"), TOOL_ITEMS), (size.isNull(), TOOL_INVALID), (size > LIMITS.batch, TOOL_ITEMS)],
+        "search": [(~(number("$.limit") & number("$.min_similarity")), TOOL_INVALID), (~kind("$.query").isin("STRING", "ABSENT"), TOOL_INVALID), (F.coalesce(F.try_variant_get(v, "$.query", "string").rlike(BLANK), F.lit(True)), TOOL_NO_QUERY)],
+        "remove": [(empty("$.ids"), TOOL_NO_IDS)],
+        "purge": [(empty("$.namespace"), TOOL_NO_NAMESPACE)],
+    }.get(tool, [(F.lit(True), f"Unknown tool: {tool}")])
+    out = F.lit(None).cast("string")
+    for bad, error in reversed([(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), TOOL_INVALID), *rules]):
+        out = F.when(bad, F.lit(error)).otherwise(out)
+    return out
+
+
 def texts_verdict(texts: Column) -> Column:
     """The same for the texts of an embed request that is a table row already."""
     n = F.coalesce(F.size(texts), F.lit(0))

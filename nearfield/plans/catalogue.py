@@ -320,6 +320,16 @@ def request_validate(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query
+def tool_validate(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for tool in ("embed", "index", "search", "remove", "purge", "other"):
+        calls = spark.createDataFrame([(i, b) for i, (t, b) in enumerate(oracle.CALLS) if t == tool], "case_id int, arguments string")
+        one = calls.select("case_id", F.lit(tool).alias("tool"), rq.tool_error(tool, F.col("arguments")).alias("error"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def embed_validate(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embed_requests").distinct().select("request_id", rq.texts_verdict(F.col("texts")).alias("v"))

@@ -16,6 +16,13 @@ BODIES: list[tuple[str, str | None]] = [
     ("remove", '{"ids": ["a", "a"]}'), ("remove", '{"ids": "ab"}'), ("remove", '{"ids": []}'), ("remove", "{"),
     ("purge", '{"namespace": "n"}'), ("purge", '{"namespace": " "}'), ("purge", "{}"), ("purge", '{"namespace": 1}'), ("purge", "null"),
 ]
+CALLS: list[tuple[str, str | None]] = [
+    ("embed", '{"texts": ["a"]}'), ("embed", "{}"), ("embed", '{"texts": "a"}'), ("embed", '{"texts": []}'), ("embed", '{"texts": [' + ", ".join(['"x"'] * 101) + "]}"),
+    ("index", '{"items": [{"id": 1}]}'), ("index", '{"items": []}'), ("index", "{}"), ("index", '{"items": "abc"}'), ("index", '{"items": 5}'), ("index", '{"items": [' + ", ".join(["1"] * 101) + "]}"),
+    ("search", '{"query": "a"}'), ("search", '{"query": " "}'), ("search", "{}"), ("search", '{"query": 5}'), ("search", '{"query": "a", "limit": "x"}'), ("search", '{"query": null}'), ("search", '{"query": "a", "min_similarity": null}'),
+    ("remove", '{"ids": "ab"}'), ("remove", '{"ids": []}'), ("remove", '{"ids": ["a"]}'), ("remove", '{"ids": 0}'), ("remove", "[1]"),
+    ("purge", '{"namespace": " "}'), ("purge", '{"namespace": ""}'), ("purge", "{}"), ("purge", None), ("other", "{}"),
+]
 HEADERS: list[str | None] = ["Bearer s3cret-token", "bearer s3cret-token", "BEARER  s3cret-token ", "Basic s3cret-token", "Bearer", "Bearer ", "", None, "s3cret-token", "Bearer wrong", "Bearer s3cret-token x", "Token s3cret-token"]
 
 
@@ -86,7 +93,23 @@ def _validation() -> str:
     return f"SELECT case_id, endpoint, CASE {status} ELSE 200 END AS status, CASE {error} END AS error FROM (VALUES {cases}) AS t(case_id, endpoint, body)"
 
 
+def _tools() -> str:
+    cases = ", ".join(f"({i}, '{t}', {_text(b)})" for i, (t, b) in enumerate(CALLS))
+    empty = lambda c: f"(NOT json_exists(a, '$.{c}') OR CAST(json_extract(a, '$.{c}') AS VARCHAR) IN ({', '.join(_text(x) for x in rq.FALSY)}))"
+    num = lambda c: f"(NOT json_exists(a, '$.{c}') OR try_cast(json_extract_string(a, '$.{c}') AS DOUBLE) IS NOT NULL)"
+    size = "CASE json_type(a, '$.items') WHEN 'ARRAY' THEN json_array_length(a, '$.items') WHEN 'VARCHAR' THEN length(json_extract_string(a, '$.items')) WHEN 'OBJECT' THEN len(json_keys(a, '$.items')) END"
+    rules = [
+        ("a IS NULL OR NOT json_valid(a) OR json_type(a) <> 'OBJECT'", rq.TOOL_INVALID),
+        (f"tool = 'embed' AND (coalesce(json_type(a, '$.texts') <> 'ARRAY', true) OR {empty('texts')})", rq.TOOL_NO_TEXTS), ("tool = 'embed' AND json_array_length(a, '$.texts') > 100", rq.TOO_MANY),
+        (f"tool = 'index' AND {empty('items')}", rq.TOOL_ITEMS), (f"tool = 'index' AND {size} IS NULL", rq.TOOL_INVALID), (f"tool = 'index' AND {size} > 100", rq.TOOL_ITEMS),
+        (f"tool = 'search' AND NOT ({num('limit')} AND {num('min_similarity')})", rq.TOOL_INVALID), ("tool = 'search' AND json_exists(a, '$.query') AND json_type(a, '$.query') <> 'VARCHAR'", rq.TOOL_INVALID), ("tool = 'search' AND coalesce(trim(json_extract_string(a, '$.query')) = '', true)", rq.TOOL_NO_QUERY),
+        (f"tool = 'remove' AND {empty('ids')}", rq.TOOL_NO_IDS), (f"tool = 'purge' AND {empty('namespace')}", rq.TOOL_NO_NAMESPACE), ("tool = 'other'", "Unknown tool: other"),
+    ]
+    return f"SELECT case_id, tool, CASE {' '.join(f'WHEN {c} THEN {_text(e)}' for c, e in rules)} END AS error FROM (VALUES {cases}) AS t(case_id, tool, a)"
+
+
 SQL: dict[str, str] = {
+    "tool_validate": _tools(),
     "search_topk": f"""WITH {SMALL}, q AS (SELECT namespace, vector FROM idx WHERE seq = 0),
  s AS (SELECT i.item_id, i.seq, list_inner_product(q.vector::DOUBLE[], i.vector::DOUBLE[]) AS raw FROM idx i JOIN q USING (namespace)),
  r AS (SELECT *, row_number() OVER (ORDER BY raw DESC, seq) AS rank FROM s WHERE raw >= 0)

@@ -56,6 +56,12 @@ def test_providers(spark):
     assert all((v is None) == (i % 5 == 0) for i, v in got.items()) and got[3] == pytest.approx([0.6, 0.8])
 
 
+def test_provider_settings():
+    assert pv.execution_providers("X, CUDAExecutionProvider,CPUExecutionProvider", ["CPUExecutionProvider", "CUDAExecutionProvider"]) == ["CUDAExecutionProvider", "CPUExecutionProvider"]
+    assert pv.execution_providers(None, []) == ["CPUExecutionProvider"]
+    assert pv.model_dir("auto_bge_m3", {}) == "models/onnx_bge_m3" and pv.model_dir("onnx_miniml", {"NEARFIELD_MODEL_DIR": "/m"}) == "/m"
+
+
 def test_encode_batch_pads_to_the_longest_text():
     class Tok:
         def encode_batch(self, texts):
