@@ -54,25 +54,97 @@ def search_batch(index: DataFrame, queries: DataFrame, k: int | None = None, min
     return ranked(scored, clamp(k), min_similarity)
 
 
+def _asked(queries: DataFrame) -> dict[tuple, tuple[np.ndarray, np.ndarray]] | None:
+    """Query numbers and double vectors by namespace and dimension; None if there are too many to send to all tasks."""
+    got = queries.select("qid", "namespace", "vector").limit(MAX_BROADCAST_QUERIES + 1).toArrow().combine_chunks()
+    if got.num_rows > MAX_BROADCAST_QUERIES:
+        return None
+    by: dict[tuple, list[int]] = {}
+    if not got.num_rows:
+        return {}
+    b = got.to_batches()[0]
+    start, n, val = ragged(column(b, "vector"))
+    for i, (ns, d) in enumerate(zip(column(b, "namespace").to_pylist(), n, strict=True)):
+        if d:
+            by.setdefault((ns, int(d)), []).append(i)
+    qid = column(b, "qid").to_numpy()
+    return {key: (qid[v], val[start[np.array(v)][:, None] + np.arange(key[1])].astype(np.float64)) for key, v in by.items()}
+
+
+BLOCKS = "namespace string, dim int, item_ids array<string>, seqs binary, matrix binary"
+
+
+def matrix_blocks(index: DataFrame, block_rows: int = 8192) -> DataFrame:
+    """The index as dense matrices, a row for each namespace, dimension and at most block_rows vectors; persist it to keep
+    the matrices resident. Built where the rows lie, without an exchange."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[tuple, list] = {}
+
+        def close(key: tuple) -> pa.RecordBatch:
+            ids, seqs, mats = zip(*open_.pop(key), strict=True)
+            ids = pa.concat_arrays(ids)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), lists, pa.array([np.concatenate(seqs).tobytes()], pa.binary()), pa.array([np.concatenate(mats).astype("<f4").tobytes()], pa.binary())], ["namespace", "dim", "item_ids", "seqs", "matrix"])
+
+        for b in batches:
+            start, n, val = ragged(column(b, "vector"))
+            ns = column(b, "namespace").dictionary_encode(null_encoding="encode")
+            names, seq = ns.dictionary.to_pylist(), column(b, "seq").to_numpy().astype(np.int64)
+            group = ns.indices.to_numpy().astype(np.int64) << 32 | n
+            for g in np.unique(group[n > 0]):
+                rows = np.flatnonzero(group == g)
+                key = (names[g >> 32], int(n[rows[0]]))
+                for s in range(0, len(rows), block_rows):
+                    r = rows[s : s + block_rows]
+                    open_.setdefault(key, []).append((column(b, "item_id").take(pa.array(r)), seq[r], val[start[r][:, None] + np.arange(key[1])]))
+                    if sum(len(x[1]) for x in open_[key]) >= block_rows:
+                        yield close(key)
+        for key in list(open_):
+            yield close(key)
+
+    return index.select("namespace", "item_id", "seq", "vector").mapInArrow(build, BLOCKS)
+
+
+def search_resident(blocks: DataFrame, queries: DataFrame, k: int | None = None, min_similarity: float = LIMITS.default_similarity) -> DataFrame:
+    """(qid, rank, item_id, score) over matrix_blocks: a single-precision product finds what can be among the k best of a block,
+    a double-precision one decides. At most MAX_BROADCAST_QUERIES queries."""
+    k, asked = clamp(k), _asked(queries)
+    if asked is None:
+        raise ValueError(f"more than {MAX_BROADCAST_QUERIES} queries at once: use search_batch")
+    namespaces = sorted({ns for ns, _ in asked if ns is not None})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = zip(column(b, "namespace").to_pylist(), column(b, "dim").to_pylist(), strict=True)
+            for i, key in enumerate(keys):
+                if key not in asked or not k:
+                    continue
+                ids, q = asked[key]
+                m = np.frombuffer(column(b, "matrix")[i].as_buffer(), "<f4").reshape(-1, key[1])
+                seq = np.frombuffer(column(b, "seqs")[i].as_buffer(), np.int64)
+                sims = np.nan_to_num(q.astype(np.float32) @ m.T, nan=-np.inf)
+                slack = 1e-5 * (1 + float(np.nanmax(np.abs(sims[np.isfinite(sims)]), initial=1.0)))
+                least = np.full(len(q), min_similarity - slack)
+                if len(m) > k:
+                    least = np.maximum(least, np.partition(sims, -k, axis=1)[:, -k] - slack)
+                a, c = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
+                raw = np.einsum("ij,ij->i", q[a], m[c].astype(np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), column(b, "item_ids")[i].values.take(pa.array(c)), pa.array(seq[c]), pa.array(raw)], ["qid", "item_id", "seq", "raw"])
+
+    rows = blocks.filter(F.col("namespace").isin(namespaces) | F.col("namespace").isNull()) if len(namespaces) <= 1000 else blocks
+    return ranked(rows.mapInArrow(run, "qid long, item_id string, seq long, raw double"), k, min_similarity)
+
+
 def search_blocks(index: DataFrame, queries: DataFrame, k: int | None = None, min_similarity: float = LIMITS.default_similarity) -> DataFrame:
     """The same result by one matrix product for each block of index rows, namespace and dimension; for many queries.
 
     Queries are sent to all tasks if there are MAX_BROADCAST_QUERIES at most, else the join does the work.
     """
     k = clamp(k)
-    got = queries.select("qid", "namespace", "vector").limit(MAX_BROADCAST_QUERIES + 1).toArrow().combine_chunks()
-    if got.num_rows > MAX_BROADCAST_QUERIES:
+    asked = _asked(queries)
+    if asked is None:
         return search_batch(index, queries, k, min_similarity)
-    asked: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-    if got.num_rows:
-        b = got.to_batches()[0]
-        start, n, val = ragged(column(b, "vector"))
-        by: dict[tuple, list[int]] = {}
-        for i, (ns, d) in enumerate(zip(column(b, "namespace").to_pylist(), n, strict=True)):
-            if d:
-                by.setdefault((ns, int(d)), []).append(i)
-        qid = column(b, "qid").to_numpy()
-        asked = {key: (qid[rows], val[start[rows][:, None] + np.arange(key[1])].astype(np.float64)) for key, rows in ((key, np.array(v)) for key, v in by.items())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

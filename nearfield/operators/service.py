@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.functions.vector import score
 from nearfield.operators.index import purge, remove, remove_count
 from nearfield.operators.providers import embed
-from nearfield.operators.search import search, search_batch
+from nearfield.operators.search import MAX_BROADCAST_QUERIES, matrix_blocks, search, search_batch, search_resident
 from nearfield.schema import LIMITS
 from nearfield.sources.store import SnapshotStore
 
-assert score  # re-exported for callers that rank by themselves
-
 
 class VectorIndex:
     """Each write makes a new snapshot, so a reader never sees half of one; the last snapshot is cached by version."""
@@ -21,6 +18,7 @@ class VectorIndex:
     def __init__(self, spark: SparkSession, path: str, provider: str = "hashing", **provider_args: object):
         self.spark, self.store, self.provider, self.args = spark, SnapshotStore(spark, path), provider, provider_args
         self._cached: tuple[int, DataFrame] | None = None
+        self._matrices: tuple[int, DataFrame] | None = None
 
     def load(self) -> DataFrame:
         v = self.store.version()
@@ -65,8 +63,16 @@ class VectorIndex:
         return search(rows, namespace, list(vector or []), limit, min_similarity)
 
     def search_many(self, queries: DataFrame, limit: int = LIMITS.default_results, min_similarity: float = LIMITS.default_similarity) -> DataFrame:
-        """queries: qid, namespace, text."""
-        return search_batch(self.load(), self.embed(queries), limit, min_similarity)
+        """queries: qid, namespace, text; the snapshot's matrices stay resident until the next write."""
+        asked = self.embed(queries)
+        if asked.count() > MAX_BROADCAST_QUERIES:
+            return search_batch(self.load(), asked, limit, min_similarity)
+        v = self.store.version()
+        if self._matrices is None or self._matrices[0] != v:
+            if self._matrices:
+                self._matrices[1].unpersist()
+            self._matrices = (v, matrix_blocks(self.store.read()).persist())
+        return search_resident(self._matrices[1], asked, limit, min_similarity)
 
     def remove(self, namespace: str, ids: list[str]) -> int:
         old, keys = self.load(), self.spark.createDataFrame([(namespace, str(i)) for i in ids], "namespace string, item_id string")
@@ -85,6 +91,9 @@ class VectorIndex:
         return self.store.read(namespace).count()
 
     def shutdown(self) -> None:
+        if self._matrices:
+            self._matrices[1].unpersist()
+            self._matrices = None
         if self._cached:
             self._cached[1].unpersist()
             self._cached = None

@@ -15,7 +15,7 @@ from nearfield.operators import index as ix
 from nearfield.operators import requests as rq
 from nearfield.operators import skew
 from nearfield.operators.providers import CATALOGUE
-from nearfield.operators.search import ranked, search, search_batch, search_blocks
+from nearfield.operators.search import matrix_blocks, ranked, search, search_batch, search_blocks, search_resident
 from nearfield.plans import oracle
 from nearfield.session import scratch_dir
 from nearfield.sources.store import SnapshotStore
@@ -72,6 +72,11 @@ def search_kernel(spark: SparkSession, d: str) -> DataFrame:
     return search_blocks(index(spark, d), probes(spark, d), 10, 0.3)
 
 
+@query
+def search_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return search_resident(matrix_blocks(index(spark, d)), probes(spark, d), 10, 0.3)
+
+
 @query
 def search_threshold(spark: SparkSession, d: str) -> DataFrame:
     i = small_index(spark, d)

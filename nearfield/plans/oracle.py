@@ -116,6 +116,7 @@ SQL: dict[str, str] = {
 SELECT rank, item_id, round(raw, 4) AS score FROM r WHERE rank <= 10""",
     "search_topk_batch": _search(IDX, PROBES, 10, 0.3),
     "search_kernel": _search(IDX, PROBES, 10, 0.3),
+    "search_matrix": _search(IDX, PROBES, 10, 0.3),
     "search_threshold": _search(SMALL, "q AS (SELECT seq AS qid, namespace, vector FROM idx)", 500, 0.8),
     "search_limit_clamp": _search(IDX, PROBES, 500, -1.0),
     "search_mixed_dims": _search(IDX, "q AS (SELECT seq AS qid, namespace, vector FROM idx WHERE len(vector) = 64)", 10, 0.0),

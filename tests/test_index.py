@@ -12,7 +12,7 @@ from nearfield.functions.codec import decode_blob, encode_vector
 from nearfield.operators import index as ix
 from nearfield.operators.backfill import backfill, summary
 from nearfield.operators.live import live_rows
-from nearfield.operators.search import clamp, search, search_batch, search_blocks
+from nearfield.operators.search import clamp, matrix_blocks, search, search_batch, search_blocks, search_resident
 from nearfield.operators.service import VectorIndex
 from nearfield.schema import OPS
 from nearfield.sources.store import SnapshotStore
@@ -64,7 +64,7 @@ def brute(rows, queries, k, least):
     return out
 
 
-@pytest.mark.parametrize("kernel", [search_batch, search_blocks])
+@pytest.mark.parametrize("kernel", [search_batch, search_blocks, lambda i, q, k, s: search_resident(matrix_blocks(i, 16), q, k, s)])
 def test_search_matches_brute_force(spark, kernel):
     rng = np.random.default_rng(3)
     rows = [(f"n{i % 3}", f"i{i}", rng.normal(size=4 if i % 7 else 2).astype(np.float32).tolist(), i) for i in range(120)]
@@ -114,6 +114,8 @@ def test_service_lifecycle(spark, tmp_path):
     assert i.index("m", items) == 3
     assert [r.item_id for r in i.search("n", "blue plum").collect()][0] == "a"
     assert i.search("n", "blue plum", 1).first().score == pytest.approx(1.0)
+    asked = spark.createDataFrame([(1, "n", "green pear"), (2, "m", "blue plum"), (3, "no", "x")], "qid long, namespace string, text string")
+    assert {(r.qid, r.item_id) for r in i.search_many(asked, 1).collect()} == {(1, "b"), (2, "a")}
     assert i.remove("n", ["a", "a", "no"]) == 1 and i.count("n") == 1 and i.count("m") == 2
     assert i.purge("m") == 2 and i.purge("m") == 0
     again = VectorIndex(spark, f"file://{tmp_path}/index")
