@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.codec import decode_blob
 
+# fixed values: how the migrated keys are written
+NAMESPACE_PREFIX = "cpersona:"
+NO_AGENT = "None"
+ITEM_PREFIXES = ("mem", "ep")
+
 
 def candidates(memories: DataFrame, episodes: DataFrame | None, agent_id: str | None = None) -> DataFrame:
     """namespace, item_id, embedding of the rows with an embedding, memories before episodes; an empty agent means all.
@@ -16,14 +21,14 @@ def candidates(memories: DataFrame, episodes: DataFrame | None, agent_id: str |
     if missing := {"id", "agent_id", "embedding"} - set(memories.columns):
         raise ValueError(f"not a memory store: no {', '.join(sorted(missing))}")
     parts = []
-    for rank, (prefix, t) in enumerate((("mem", memories), ("ep", episodes))):
+    for rank, (prefix, t) in enumerate(zip(ITEM_PREFIXES, (memories, episodes), strict=True)):
         if t is not None:
             parts.append(t.select(F.lit(rank).alias("source_rank"), F.lit(prefix).alias("prefix"), "id", "agent_id", "embedding"))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rows = rows.filter("embedding IS NOT NULL")
     if agent_id:
         rows = rows.filter(F.col("agent_id") == agent_id)
-    key = F.concat(F.lit("cpersona:"), F.coalesce("agent_id", F.lit("None")))
+    key = F.concat(F.lit(NAMESPACE_PREFIX), F.coalesce("agent_id", F.lit(NO_AGENT)))
     return rows.select("source_rank", key.alias("namespace"), F.concat("prefix", F.lit(":"), F.col("id").cast("string")).alias("item_id"), "embedding")
 
 
