@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: So many dead rows at most are looked up in a broadcast table, of some 20 MB then.
+MAX_BROADCAST_DEAD = 200_000
+
+
 def live_keys(log: DataFrame, keys: Sequence[str] = ("namespace", "item_id"), order: str = "seq") -> DataFrame:
     """One row per key with the highest `order` and the number of versions; reads only these columns.
 
@@ -19,9 +23,23 @@ def live_keys(log: DataFrame, keys: Sequence[str] = ("namespace", "item_id"), or
 def live_rows(log: DataFrame, keys: Sequence[str] = ("namespace", "item_id"), order: str = "seq") -> DataFrame:
     """Rows that hold the highest `order` of their key.
 
-    `order` is unique in the log, so the semi join runs on it alone and spreads evenly whatever the keys are; null keys
-    form a key of their own; rows with a null `order` are no part of the log and are left out. A row delivered twice
-    with the same `order` comes out twice.
+    Null keys form a key of their own; rows with a null `order` are no part of the log and are left out. A row delivered
+    twice with the same `order` comes out twice. `order` is unique in the log otherwise.
+
+    Only numbers are moved to find the dead rows. Up to MAX_BROADCAST_DEAD of them, by an exact count, their `order`s are
+    sent to all tasks and no vector is shuffled. Beyond it a semi join on `order`, which spreads evenly whatever the
+    keys are, shuffles the rows.
     """
-    last = live_keys(log, keys, order).select(order)
-    return log.join(last.hint("shuffle_hash"), order, "left_semi")
+    log = log.filter(F.col(order).isNotNull())
+    per_key = live_keys(log, keys, order)
+    n_dead = per_key.agg(F.sum(F.col("n_versions") - 1)).first()[0] or 0
+    if n_dead > MAX_BROADCAST_DEAD:
+        return log.join(per_key.select(order).hint("shuffle_hash"), order, "left_semi")
+    if not n_dead:
+        return log
+    several = per_key.filter("n_versions > 1").select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(order).alias("_last"))
+    same = F.col(order) < F.col("_last")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    dead = log.select(*keys, order).join(F.broadcast(several), same, "left_semi").select(order)
+    return log.join(F.broadcast(dead), order, "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.codec import decode_blob, encode_vector
 from nearfield.operators import index as ix
 from nearfield.operators.backfill import backfill, summary
+from nearfield.operators import live
 from nearfield.operators.live import live_rows
 from nearfield.operators.search import clamp, matrix_blocks, search, search_batch, search_blocks, search_resident
 from nearfield.operators.service import VectorIndex
@@ -48,10 +49,12 @@ def test_fold_equals_model(spark, steps):
     assert {r.op_seq: r.n_removed for r in ix.removed_counts(df).collect()} == removed
 
 
-def test_live_rows(spark):
+def test_live_rows(spark, monkeypatch):
     rows = [("n", "a", [1.0], 1), ("n", "a", [2.0], 5), ("n", "b", None, 2), (None, None, [3.0], 3), (None, None, [4.0], 4), ("n", "c", [1.0], None)]
     got = {(r.namespace, r.item_id, r.seq) for r in live_rows(spark.createDataFrame(rows, LOG)).collect()}
     assert got == {("n", "a", 5), ("n", "b", 2), (None, None, 4)}
+    monkeypatch.setattr(live, "MAX_BROADCAST_DEAD", 0)
+    assert {(r.namespace, r.item_id, r.seq) for r in live_rows(spark.createDataFrame(rows, LOG)).collect()} == got
     assert live_rows(spark.createDataFrame([], LOG)).count() == 0
 
 
