@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.arrays import bytes_rows, column, copy_classes, cosines, row_bytes, unit, usable_by_dim
 from nearfield.llm.blocks import with_blocks
+from nearfield.operators.live import live_rows
 
 OUT = "query_seq long, item_id string, seq long, cosine double"
 
@@ -113,7 +114,7 @@ def _search_block(names: np.ndarray, seq: np.ndarray, is_home: np.ndarray, is_qu
     """All neighbours within one block: columns (query_seq, row, cosine); row -1 confirms a live query."""
     latest = np.lexsort((seq, ~is_home, names))
     last = np.append(names[latest][1:] != names[latest][:-1], True)
-    # the live row of a key: the latest of the home rows, or of the visiting queries; repeated rows count once
+    # one row a key of the home rows, and of the visiting queries: repeated rows count once
     keep = latest[last | np.append(is_home[latest][1:] != is_home[latest][:-1], False)]
     names, seq, is_home, is_query, raw = names[keep], seq[keep], is_home[keep], is_query[keep], raw[keep]
     home, queries = np.flatnonzero(is_home), np.flatnonzero(is_query)
@@ -151,8 +152,8 @@ def _search_block(names: np.ndarray, seq: np.ndarray, is_home: np.ndarray, is_qu
 def nearest(log: DataFrame, is_query: Column, k: int = 10, m: int = 10, stop: float = 0.95, leaf: int = 64, block_rows: int = 32_768, dims: tuple[int, ...] | None = None) -> DataFrame:
     """For each live usable row that satisfies `is_query`, the k items of its namespace and dimension of highest cosine.
 
-    log: namespace, item_id, vector, seq (other columns are ignored). `is_query` must hold for all versions of a key or
-    depend on seq alone. Columns: query_seq, place, item_id, seq, cosine; equal cosines by smaller seq first. A query
+    log: namespace, item_id, vector, seq (other columns are ignored). A key's row of highest seq is its live one, usable or
+    not and of whatever dimension; dead rows neither ask nor are found. Columns: query_seq, place, item_id, seq, cosine; equal cosines by smaller seq first. A query
     without any other item in its namespace gives no row. Null or empty vectors, those with null, NaN or infinite
     components and those of norm 0 take no part; a null namespace is a namespace, a null item_id an item. Rows without seq are no part of the log.
 
@@ -160,7 +161,9 @@ def nearest(log: DataFrame, is_query: Column, k: int = 10, m: int = 10, stop: fl
     queries visit all blocks and the block results, k a block, are merged.
     """
     factor = chi2_quantile(stop, m)
-    rows, _ = with_blocks(log.filter("seq IS NOT NULL").select("namespace", "item_id", "seq", "vector", F.coalesce(is_query, F.lit(False)).alias("is_query")), block_rows)
+    # before unusable rows and other dimensions are left out, which may be a key's last word
+    alive = live_rows(log.select("namespace", "item_id", "seq", "vector", F.coalesce(is_query, F.lit(False)).alias("is_query")))
+    rows, _ = with_blocks(alive, block_rows)
     home = F.pmod(F.xxhash64("item_id"), F.col("n_blocks")).cast("int")
     rows = (
         rows.withColumn("home", home)
@@ -192,7 +195,7 @@ def nearest(log: DataFrame, is_query: Column, k: int = 10, m: int = 10, stop: fl
 
     found = rows.repartition("namespace", "block").mapInArrow(search, OUT)
     place = Window.partitionBy("query_seq").orderBy(F.col("cosine").desc(), F.col("seq").asc())
-    # the home block's marker (seq -1, NaN) sorts first; without it the visiting query was a dead version
+    # the home block's marker (seq -1, NaN) sorts first
     ranked = found.withColumn("place", F.row_number().over(place) - 1).filter(F.col("place") <= k)
     live = F.min("seq").over(Window.partitionBy("query_seq")) == -1
     return ranked.withColumn("live", live).filter("live and place > 0").select("query_seq", "place", "item_id", "seq", "cosine")

@@ -86,6 +86,16 @@ def test_nearest_equals_brute_force(log, rows, block_rows):
     assert nearest(log.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [32_768, 3])
+def test_nearest_leaves_out_keys_overwritten_by_unusable_rows(spark, block_rows):
+    good = [("a", f"i{s}", s, [1.0, 0.1 * s]) for s in range(8)]
+    # the live rows of four keys: not finite, null, zero, of another dimension; a fifth came back to its first dimension
+    last = [("a", "i1", 101, [float("nan"), 1.0]), ("a", "i2", 102, None), ("a", "i3", 103, [0.0, 0.0]), ("a", "i4", 104, [1.0, 0.0, 0.0]), ("a", "i5", 105, [1.0] * 3), ("a", "i5", 106, [1.0, 0.55])]
+    got = nearest(spark.createDataFrame(good + last, SCHEMA).repartition(4), F.lit(True), k=10, block_rows=block_rows).collect()
+    alive = {"i0": 0, "i5": 106, "i6": 6, "i7": 7}
+    assert {(r.query_seq, r.item_id, r.seq) for r in got} == {(q, i, s) for a, q in alive.items() for i, s in alive.items() if a != i}
+
+
 def test_block_lookup_by_join(log, rows, monkeypatch):
     monkeypatch.setattr(blocks, "MAX_BROADCAST_KEYS", 0)
     monkeypatch.setattr(blocks, "MAX_VERSIONS", 1)
