@@ -181,6 +181,27 @@ def test_clusters(spark):
     assert similarity_clusters(spark.createDataFrame(rows[:3], SCHEMA), width=d)[0].count() == 0
 
 
+def test_clusters_that_no_sample_shows(spark):
+    """Small topics that are no three neighbours in the sample, and a chain of 40 links behind a topic's member."""
+    rng, d = np.random.default_rng(9), 96
+    v = [*(unit(np.eye(d)[0] + 0.05 * rng.normal(size=d)) for _ in range(60)), *unit(rng.normal(size=(500, d)))]
+    true = {f"i{i}": 0 for i in range(60)}
+    for t in range(3):
+        centre = unit(rng.normal(size=d))
+        true |= {f"i{len(v) + i}": len(v) for i in range(8)}
+        v += [unit(centre + 0.05 * rng.normal(size=d)) for _ in range(8)]
+    for _ in range(40):
+        on = v[0] if len(v) == 584 else v[-1]
+        off = unit((lambda r: r - r @ on * on)(rng.normal(size=d)))
+        true[f"i{len(v)}"] = 0
+        v.append(0.53 * on + np.sqrt(1 - 0.53**2) * off)
+    rows = [("n", f"i{i}", i, x.astype(np.float32).tolist()) for i, x in enumerate(v)]
+    members, typical, _ = similarity_clusters(spark.createDataFrame(rows, SCHEMA), link=0.5, width=d, sample=100, chunk=300)
+    assert {r.item_id: r.cluster_seq for r in members.collect()} == true
+    places = {(r.cluster_seq, r.place) for r in typical.collect()}
+    assert {c for c, _ in places} == set(true.values()) and all((c, p) in places for c in (560, 568, 576) for p in range(1, 9))
+
+
 def test_greedy_determinant_is_greedy():
     rng = np.random.default_rng(4)
     b = rng.normal(size=(30, 12))
