@@ -224,3 +224,13 @@ def test_varied_subset(log, rows):
         assert all(len(alive[a.seq][3]) != len(alive[b.seq][3]) or cosine(alive[a.seq][3], alive[b.seq][3]) < 0.97 for b in got[i + 1 :])
     assert len({r.namespace for r in got}) >= 5
     assert varied_subset(log.limit(0), 5).count() == 0 and varied_subset(log.filter("seq < 3"), 50).count() == 3
+
+
+def test_varied_subset_weighs_a_rare_topic_by_all_rows(spark):
+    rng, d = np.random.default_rng(6), 96
+    centre = unit(rng.normal(size=d))
+    v = [*unit(rng.normal(size=(1500, d))), *(unit(centre + 0.03 * rng.normal(size=d)) for _ in range(8))]
+    rows = [("n", f"i{i}", i, x.astype(np.float32).tolist()) for i, x in enumerate(v)]
+    got = sorted(varied_subset(spark.createDataFrame(rows + rows[:3], SCHEMA), 3, sample=20).collect())
+    assert got[0].seq >= 1500 and got[0].gain == pytest.approx(1, abs=1e-3)
+    assert all(r.seq < 1500 and r.gain < 0.5 for r in got[1:])
