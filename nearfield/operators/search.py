@@ -15,6 +15,8 @@ from nearfield.schema import LIMITS
 
 #: So many query vectors at most are sent to all tasks; beyond it queries and index are joined by namespace and dimension.
 MAX_BROADCAST_QUERIES = 20_000
+#: And so many bytes of them.
+MAX_BROADCAST_BYTES = 32 << 20
 RESULT = ["qid", "rank", "item_id", "score"]
 
 
@@ -57,7 +59,7 @@ def search_batch(index: DataFrame, queries: DataFrame, k: int | None = None, min
 def _asked(queries: DataFrame) -> dict[tuple, tuple[np.ndarray, np.ndarray]] | None:
     """Query numbers and double vectors by namespace and dimension; None if there are too many to send to all tasks."""
     got = queries.select("qid", "namespace", "vector").limit(MAX_BROADCAST_QUERIES + 1).toArrow().combine_chunks()
-    if got.num_rows > MAX_BROADCAST_QUERIES:
+    if got.num_rows > MAX_BROADCAST_QUERIES or got.nbytes > MAX_BROADCAST_BYTES:
         return None
     by: dict[tuple, list[int]] = {}
     if not got.num_rows:
@@ -68,7 +70,32 @@ def _asked(queries: DataFrame) -> dict[tuple, tuple[np.ndarray, np.ndarray]] | N
         if d:
             by.setdefault((ns, int(d)), []).append(i)
     qid = column(b, "qid").to_numpy()
-    return {key: (qid[v], val[start[np.array(v)][:, None] + np.arange(key[1])].astype(np.float64)) for key, v in by.items()}
+    return {key: (qid[v], val[start[np.array(v)][:, None] + np.arange(key[1])]) for key, v in by.items()}
+
+
+def _best(q: np.ndarray, m: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, dot product) of all that can be among the k best of the queries, and reach `least`.
+
+    A single-precision product preselects, by a margin above its error, so that no row tied at the k-th place is lost; each
+    pair left is then computed on its own in double precision, so that equal vectors score alike wherever they stand.
+    """
+    with np.errstate(invalid="ignore", over="ignore"):
+        sims = q @ m.T
+        # the rounding error of a product is bounded by the lengths of its two vectors
+        lengths = [np.sqrt((x.astype(np.float64) ** 2).sum(1)) for x in (q, m)]
+    slack = 1e-6 * q.shape[1] * lengths[0] * np.where(np.isfinite(lengths[1]), lengths[1], 0).max(initial=0)
+    slack = np.where(np.isfinite(slack), slack, np.inf)
+    odd = ~np.isfinite(sims)
+    sims[odd] = np.inf  # decided in double precision
+    floor = np.full(len(q), -np.inf)
+    if len(m) > k:
+        finite = np.where(odd, -np.inf, sims)
+        floor = np.partition(finite, -k, axis=1)[:, -k] - slack
+    a, c = np.nonzero(sims >= np.maximum(floor, least - slack)[:, None])
+    with np.errstate(invalid="ignore", over="ignore"):
+        raw = np.concatenate([(q[a[s : s + 65_536]].astype(np.float64) * m[c[s : s + 65_536]].astype(np.float64)).sum(1) for s in range(0, len(a), 65_536)] or [np.empty(0)])
+    ok = ~np.isnan(raw)
+    return a[ok], c[ok], raw[ok]
 
 
 BLOCKS = "namespace string, dim int, item_ids array<string>, seqs binary, matrix binary"
@@ -108,7 +135,7 @@ def matrix_blocks(index: DataFrame, block_rows: int = 8192) -> DataFrame:
 
 def search_resident(blocks: DataFrame, queries: DataFrame, k: int | None = None, min_similarity: float = LIMITS.default_similarity) -> DataFrame:
     """(qid, rank, item_id, score) over matrix_blocks: a single-precision product finds what can be among the k best of a block,
-    a double-precision one decides. At most MAX_BROADCAST_QUERIES queries."""
+    double precision decides. At most MAX_BROADCAST_QUERIES queries."""
     k, asked = clamp(k), _asked(queries)
     if asked is None:
         raise ValueError(f"more than {MAX_BROADCAST_QUERIES} queries at once: use search_batch")
@@ -123,13 +150,7 @@ def search_resident(blocks: DataFrame, queries: DataFrame, k: int | None = None,
                 ids, q = asked[key]
                 m = np.frombuffer(column(b, "matrix")[i].as_buffer(), "<f4").reshape(-1, key[1])
                 seq = np.frombuffer(column(b, "seqs")[i].as_buffer(), np.int64)
-                sims = np.nan_to_num(q.astype(np.float32) @ m.T, nan=-np.inf)
-                slack = 1e-5 * (1 + float(np.nanmax(np.abs(sims[np.isfinite(sims)]), initial=1.0)))
-                least = np.full(len(q), min_similarity - slack)
-                if len(m) > k:
-                    least = np.maximum(least, np.partition(sims, -k, axis=1)[:, -k] - slack)
-                a, c = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
-                raw = np.einsum("ij,ij->i", q[a], m[c].astype(np.float64))
+                a, c, raw = _best(q, m, k, min_similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), column(b, "item_ids")[i].values.take(pa.array(c)), pa.array(seq[c]), pa.array(raw)], ["qid", "item_id", "seq", "raw"])
 
     rows = blocks.filter(F.col("namespace").isin(namespaces) | F.col("namespace").isNull()) if len(namespaces) <= 1000 else blocks
@@ -158,14 +179,7 @@ def search_blocks(index: DataFrame, queries: DataFrame, k: int | None = None, mi
                 if (key := (names[code[rows[0]]], d)) not in asked:
                     continue
                 ids, q = asked[key]
-                sims = q @ val[start[rows][:, None] + np.arange(d)].astype(np.float64).T
-                sims[np.isnan(sims)] = -np.inf
-                if len(rows) > k:
-                    # ties at the k-th place all stay: the window decides among them by seq
-                    kth = np.partition(sims, -k, axis=1)[:, -k, None] if k else np.inf
-                    a, c = np.nonzero((sims >= kth) & (sims > -np.inf))
-                else:
-                    a, c = np.nonzero(sims > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), column(b, "item_id").take(pa.array(rows[c])), pa.array(seq[rows[c]]), pa.array(sims[a, c])], ["qid", "item_id", "seq", "raw"])
+                a, c, raw = _best(q, val[start[rows][:, None] + np.arange(d)], k, min_similarity) if k else (np.empty(0, int),) * 2 + (np.empty(0),)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), column(b, "item_id").take(pa.array(rows[c])), pa.array(seq[rows[c]]), pa.array(raw)], ["qid", "item_id", "seq", "raw"])
 
     return ranked(index.select("namespace", "item_id", "seq", "vector").mapInArrow(run, "qid long, item_id string, seq long, raw double"), k, min_similarity)

@@ -45,7 +45,8 @@ def probes(spark: SparkSession, d: str) -> DataFrame:
     """The probe table's vectors as queries."""
     p = table(spark, d, "knn_probes")
     keys = F.broadcast(p) if p.count() <= 100_000 else p
-    return index(spark, d).join(keys, ix.KEY).select(F.col("probe_id").cast("bigint").alias("qid"), "namespace", "vector")
+    # counted, sent and searched: derived once
+    return index(spark, d).join(keys, ix.KEY).select(F.col("probe_id").cast("bigint").alias("qid"), "namespace", "vector").persist()
 
 
 def components(v: Column, key: str, digits: int = 5) -> list[Column]:

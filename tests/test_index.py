@@ -81,6 +81,25 @@ def test_search_matches_brute_force(spark, kernel):
     assert kernel(df, spark.createDataFrame([], "qid long, namespace string, vector array<float>"), 5, 0.0).count() == 0
 
 
+def test_search_orders_equal_vectors_by_position(spark):
+    """Copies in different blocks, and at the k-th place, among rows whose products round differently."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(200, 37)).astype(np.float32)
+    v[[150, 20, 90]] = v[10]
+    rows = [("a", f"i{s}", v[s].tolist(), s) for s in range(200)] + [("a", "nan", [float("nan")] * 37, 900), ("a", "inf", [float("inf")] * 37, 901)]
+    index = spark.createDataFrame(rows, LOG)
+    queries = spark.createDataFrame([(i, "a", (v[10] * (1 + i)).tolist()) for i in range(9)], "qid long, namespace string, vector array<float>")
+    for k in (2, 3, 4, 7):
+        for parts in (1, 3, 7):
+            part = index.repartition(parts, "seq")
+            for got in (search_blocks(part, queries, k, 0.0), search_resident(matrix_blocks(part, 16), queries, k, 0.0)):
+                by = {}
+                for r in got.orderBy("qid", "rank").collect():
+                    by.setdefault(r.qid, []).append(r.item_id)
+                tied = ["i10", "i20", "i90", "i150"]
+                assert all([x for x in y if x in tied] == tied[: k - ("inf" in y)] for y in by.values()) and len(by) == 9
+
+
 def test_search_limits(spark):
     df = spark.createDataFrame([("n", f"i{i}", [1.0, 0.0], i) for i in range(20)], LOG)
     assert [r.item_id for r in search(df, "n", [1.0, 0.0], 5, 0.0).collect()] == [f"i{i}" for i in range(5)]
