@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,11 +66,20 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def persist_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the scratch folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/nearfield-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    return persist_tables([df], name)
+
+
+def persist_tables(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """Write DataFrames of one schema after one another, each when it is asked for, and read them back as one."""
+    path, spark, schema = "", None, None
+    for df in parts:
+        spark, schema = df.sparkSession, df.schema
+        path = path or f"{scratch_dir(spark)}/nearfield-{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").mode("append").parquet(path)
+    if spark is None:
+        raise ValueError("no part to write")
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_table(df: DataFrame) -> None:
