@@ -13,7 +13,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round points every node's larger neighbours, then its smaller ones, at the smallest node seen; the graph ends as
     stars, after a number of rounds that grows with the logarithm of the longest chain. A node's neighbours are never
-    gathered: only their minimum is. Rows of a null end and loops are left out.
+    gathered: only their minimum is. Rows of a null end and loops are left out. A graph that isn't finished after
+    max_rounds is an error, not a result.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,5 +35,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == sign:
             break
         sign = now
+    else:
+        raise RuntimeError(f"links form chains that {max_rounds} rounds don't resolve")
     stars = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component")).distinct()
