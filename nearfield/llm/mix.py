@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from nearfield.llm.tokens import DEFAULT_TOKENIZER, normal_source, token_counts
 from nearfield.session import persist_table
 
+#: So many rates at most are sent to all tasks (under 1 MB); beyond it they are joined by shuffle.
+MAX_BROADCAST_TARGETS = 10_000
+
 
 def source_rates(counted: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
     """source, target_share, max_repeats, tokens_in, rate for each target; rate is how often a document comes out on average.
@@ -26,19 +29,24 @@ def source_rates(counted: DataFrame, targets: DataFrame, total_tokens: float | N
     return t.select("source", (F.col("target_share") / F.lit(float(shares))).alias("wanted"), "target_share", "max_repeats", "tokens_in", rate.alias("rate"))
 
 
-def mixture(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, tokenizer_path: str = DEFAULT_TOKENIZER, seed: int = 8) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, tokenizer_path: str = DEFAULT_TOKENIZER, seed: int = 8, as_large: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(copies, report).
 
     copies: doc_id, source, copy_no, n_tokens - each document floor(rate) times and once more if a hash of its id and the
     seed falls below the fraction, so never more than max_repeats times. report: per target its share wanted (of the targets
     that have tokens) and reached. docs: doc_id, text, source; spellings of a source count as one; documents of no
-    target or of a null source aren't in the mixture; null and empty texts have no tokens and are left out.
+    target or of a null source aren't in the mixture; null and empty texts have no tokens and are left out. as_large: the
+    size as a multiple of all documents' tokens, instead of total_tokens.
     """
     counted = persist_table(token_counts(docs.withColumn("source", normal_source("source")), tokenizer_path).filter("n_tokens > 0"), "mix-counts")
+    if as_large is not None:
+        total_tokens = as_large * (counted.agg(F.sum("n_tokens")).first()[0] or 0)
     rates = source_rates(counted, targets, total_tokens)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     n = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
-    chosen = counted.join(F.broadcast(rates.select("source", "rate")), "source").withColumn("n", n).filter("n > 0")  # rates: a row a target
+    few = rates.limit(MAX_BROADCAST_TARGETS + 1).count() <= MAX_BROADCAST_TARGETS
+    by_source = rates.select("source", "rate")
+    chosen = counted.join(F.broadcast(by_source) if few else by_source, "source").withColumn("n", n).filter("n > 0")
     copies = chosen.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"), "n_tokens")
     out = chosen.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("tokens_out"), F.max("n").alias("most_copies"))
     report = rates.join(out, "source", "left").withColumn("all_out", F.lit(out.agg(F.sum("tokens_out")).first()[0]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.diverse import varied_subset
@@ -13,8 +13,9 @@ from nearfield.llm.mix import mixture
 from nearfield.llm.mixture import similarity_clusters
 from nearfield.llm.near_copies import near_copy_groups, near_copy_pairs
 from nearfield.llm.neighbours import nearest
-from nearfield.llm.pack import packed_windows
+from nearfield.llm.pack import packed_windows, window_report
 from nearfield.llm.split import split_elements
+from nearfield.llm.tokens import POSITION_TOKENIZER
 from nearfield.sources.tables import table
 
 
@@ -80,6 +81,41 @@ def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_windows(table(spark, sf_dir, "documents"))
 
 
+def p7_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with text, and whether its tokens lie in windows once each, in pieces without a gap, none overfull."""
+    w = packed_windows(table(spark, sf_dir, "documents"))
+    fill = w.groupBy("window_id").agg(F.sum("n_tokens").alias("fill"))
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("token_start")) - 1
+    rows = w.join(fill, "window_id").withColumn("at", at)
+    good = (F.col("fill") <= 2_048) & (F.col("piece") == F.col("at")) & (F.col("token_start") == F.col("at") * 2_048)
+    return rows.groupBy("doc_id").agg(F.min(good.cast("int")).alias("is_whole"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each source over all windows, and how far single windows are from it."""
+    return window_report(packed_windows(table(spark, sf_dir, "documents")))
+
+
+def p5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of more than 512 tokens in pieces of at most 512, the last 64 repeated."""
+    return split_elements(table(spark, sf_dir, "embed_requests"), 512, 64, POSITION_TOKENIZER)
+
+
+def p8_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each target that some document has: whether no document is repeated too often and the share reached is reported."""
+    report = p8_report(spark, sf_dir).filter("tokens_in > 0")
+    copies = p8_mixture(spark, sf_dir).groupBy("source").agg(F.max("copy_no").alias("most"))
+    both = report.join(copies, "source", "left")
+    good = (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")) & (F.coalesce("most", F.lit(0)) == F.col("most_copies"))
+    return both.select("source", "max_repeats", good.cast("int").alias("is_within"))
+
+
+def p8_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares wanted and reached of a mixture of as many tokens as the documents have: scarce sources meet their caps."""
+    docs = table(spark, sf_dir, "documents")
+    return mixture(docs, table(spark, sf_dir, "source_targets"), as_large=1.0)[1]
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' copies in a mixture of the target shares."""
     return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
@@ -101,8 +137,16 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_groups, p3_varied, p4_found, p4_knn, p5_found, p5_pieces, p7_windows, p8_mixture, p8_report, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_groups, p3_varied, p4_found, p4_knn, p5_found, p5_pieces, p5_tokens, p7_windows, p7_placed, p7_report, p8_mixture, p8_report, p8_capped, p8_within, p9_found, p9_restored)}
+
+
+SOURCE = r"regexp_replace(lower(trim({}, ' ')), '[\s\-]+', '_', 'g')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": "SELECT DISTINCT request_id, CAST(text_pos - 1 AS INTEGER) AS text_pos FROM (SELECT request_id, generate_subscripts(texts, 1) AS text_pos, unnest(texts) AS t FROM embed_requests) WHERE length(t) > 2000"}
+    return {
+        "p5_found": "SELECT DISTINCT request_id, CAST(text_pos - 1 AS INTEGER) AS text_pos FROM (SELECT request_id, generate_subscripts(texts, 1) AS text_pos, unnest(texts) AS t FROM embed_requests) WHERE length(t) > 2000",
+        # invariants: each text's tokens are placed once and whole; caps hold
+        "p7_placed": "SELECT doc_id, 1 AS is_whole FROM documents WHERE text <> ''",
+        "p8_within": f"SELECT s AS source, max(max_repeats) AS max_repeats, 1 AS is_within FROM (SELECT {SOURCE.format('source')} AS s, * FROM source_targets WHERE target_share > 0 AND max_repeats > 0) WHERE s IN (SELECT {SOURCE.format('source')} FROM documents WHERE text <> '') GROUP BY s",
+    }

@@ -10,9 +10,10 @@ from hypothesis import strategies as st
 
 from nearfield.llm.encoding import CHAINS, Detector, garble, restore_encoding, train
 from nearfield.llm.mix import mixture
-from nearfield.llm.pack import pack_windows, packed_windows
+from nearfield.llm.pack import pack_windows, packed_windows, window_report
 from nearfield.llm.split import split_elements, split_text, token_sizes
-from nearfield.llm.tokens import DEFAULT_TOKENIZER, load
+from nearfield.llm.tokens import DEFAULT_TOKENIZER, POSITION_TOKENIZER, encoder, load
+from nearfield.session import persist_table
 
 DOCS = "doc_id long, text string, source string"
 
@@ -41,7 +42,7 @@ def test_split_prefers_natural_boundaries():
 
 
 def test_split_by_tokens():
-    tok = load(DEFAULT_TOKENIZER)
+    tok = load(POSITION_TOKENIZER)
     text = "The quick brown fox jumps over the lazy dog. " * 20
     pieces = split_text(text, 50, 8, token_sizes(tok))
     assert len(pieces) > 3 and all(p.size <= 50 for p in pieces)
@@ -84,7 +85,7 @@ def test_packed_windows(spark):
     rows += [(900, "delta " * 700, "a"), (901, None, "a"), (902, "", "b-c"), (903, "x " * 64, "zzz")]
     df = spark.createDataFrame(rows, DOCS).repartition(4)
     got = packed_windows(df, 128).collect()
-    tok = load(DEFAULT_TOKENIZER)
+    tok = load(POSITION_TOKENIZER)
     n = {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t, _ in rows}
     have = defaultdict(int)
     for r in got:
@@ -106,6 +107,39 @@ def test_packed_windows(spark):
     assert len(mixed) > 10 and 0.6 < sum(w["a"] for w in mixed) / sum(sum(w.values()) for w in mixed) < 0.9
 
 
+def test_counts_agree_between_tokenizer_files():
+    one, two = encoder(DEFAULT_TOKENIZER), encoder(POSITION_TOKENIZER)
+    for t in ("", "plain words, and more", "é" * 50, " \t\n  x", "<|endoftext|>", "日本語 текст 123's"):
+        assert one(t) == two(t)
+
+
+def test_deficits_hold_over_any_stretch():
+    rng = np.random.default_rng(4)
+    size, src = rng.integers(5, 900, 3000), rng.choice(3, 3000, p=[0.6, 0.3, 0.1])
+    share = np.bincount(src, size) / size.sum()
+    windows = pack_windows(size, src, 2048, share, np.zeros(3))
+    placed = np.array([np.bincount(src[w], size[w], 3) for w in windows])
+    assert sorted(i for w in windows for i in w) == list(range(3000)) and size.sum() / 2048 / len(windows) > 0.97
+    off = placed.cumsum(0) - share * placed.sum(1).cumsum()[:, None]
+    assert np.abs(off).max() < 2 * 2048
+
+
+def test_documents_that_pair_with_none_go_through_no_further_round(spark, monkeypatch):
+    from nearfield.llm import pack
+
+    names = []
+    monkeypatch.setattr(pack, "persist_table", lambda df, name: names.append(name) or persist_table(df, name))
+    rows = [(i, "word " * (70 + i % 3), "s") for i in range(300)]  # 70 to 72 tokens, no two in 128
+    got = packed_windows(spark.createDataFrame(rows, DOCS), 128, block_rows=64).collect()
+    assert len({r.window_id for r in got}) == len(got) == 300 and names == ["token-counts", "packed-0"]
+    # one tiny text could always fit: all windows stay open, yet every round is spread and the number of rounds is fixed
+    names.clear()
+    got = packed_windows(spark.createDataFrame([*rows, (900, "x", "s")], DOCS), 128, block_rows=64, rounds=2).collect()
+    assert len({r.window_id for r in got}) == 300 and len(got) == 301 and len(names) == 4
+    report = window_report(packed_windows(spark.createDataFrame(rows, DOCS), 128)).collect()
+    assert [(r.source, r.share, r.mean_gap) for r in report] == [("s", 1.0, 0.0)]
+
+
 def test_mixture(spark):
     rows = [(i, "some words of text here", "big") for i in range(3000)] + [(5000 + i, "some words of text here", "Small ") for i in range(300)]
     rows += [(9000, "x", None), (9001, "y", "other"), (9002, None, "big"), (9003, "", "big")]
