@@ -17,19 +17,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.arrays import column, usable_by_dim
-from nearfield.operators.live import live_keys
+from nearfield.operators.live import live_rows
 
 Combine = Callable[[pa.Table], pa.Table]
 
 
+def reading_tasks(df: DataFrame) -> int:
+    """About how many tasks read df: the bytes of its sources by the size of a split, and no fewer than a shuffle has."""
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(plan.apply(i).stats().sizeInBytes().toString()) for i in range(plan.size()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    # a source without statistics claims the largest possible size
+    tasks = -(-size // split) if size < 1 << 60 else 0
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), tasks)
+
+
 def tree_aggregate(df: DataFrame, keys: list[str], local: Combine, merge: Combine, schema: str, fan_in: int = 8, leaves: int | None = None, max_states: int = 16_384) -> DataFrame:
     """One row per key. local maps a chunk of df to states (columns of `schema`, keys first), merge makes one state of all
     states of each key; both see Arrow tables. A task keeps max_states states at most and passes on full sets of them.
 
-    leaves: about how many tasks read df; it sets the number of rounds, log(leaves) to the base fan_in.
+    leaves: about how many tasks read df; it sets the number of rounds, log(leaves) to the base fan_in. By default it is
+    estimated from the bytes that df's sources hold.
     """
-    spark = df.sparkSession
-    leaves = leaves or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    leaves = leaves or reading_tasks(df)
     rounds = max(1, math.ceil(math.log(max(leaves, 2)) / math.log(fan_in)))
 
     def emit(t: pa.Table, node: int) -> Iterator[pa.RecordBatch]:
@@ -91,8 +102,8 @@ def key_counts(df: DataFrame, key: str, **kw: int) -> DataFrame:
 
 def heavy_keys(df: DataFrame, key: str, share: float, **kw: int) -> DataFrame:
     """(key, n, total) of the values that hold more than `share` of all rows; fewer than 1 / share of them can."""
-    counts = key_counts(df, key, **kw)
-    total = df.count()
+    counts = key_counts(df, key, **kw).persist()  # a row a value
+    total = counts.agg(F.sum("n")).first()[0] or 0
     return counts.withColumn("total", F.lit(total)).filter(F.col("n") > total * share)
 
 
@@ -165,8 +176,7 @@ def namespace_profiles(log: DataFrame, **kw: int) -> DataFrame:
     log: namespace, item_id, vector, created_at, seq; other columns are ignored. Null namespaces form a namespace. Rows
     with a null seq are left out. An empty log gives no row.
     """
-    last = live_keys(log).select("seq", "n_versions")
-    live = log.select("namespace", "item_id", "vector", "created_at", "seq").join(last.hint("shuffle_hash"), "seq")
+    live = live_rows(log.select("namespace", "item_id", "vector", "created_at", "seq"), versions=True)
     found = tree_aggregate(live, ["namespace", "dim"], _chunk_profiles, _merge_profiles, PROFILE, **kw)
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,8 +53,14 @@ def test_live_rows(spark, monkeypatch):
     rows = [("n", "a", [1.0], 1), ("n", "a", [2.0], 5), ("n", "b", None, 2), (None, None, [3.0], 3), (None, None, [4.0], 4), ("n", "c", [1.0], None)]
     got = {(r.namespace, r.item_id, r.seq) for r in live_rows(spark.createDataFrame(rows, LOG)).collect()}
     assert got == {("n", "a", 5), ("n", "b", 2), (None, None, 4)}
-    monkeypatch.setattr(live, "MAX_BROADCAST_DEAD", 0)
-    assert {(r.namespace, r.item_id, r.seq) for r in live_rows(spark.createDataFrame(rows, LOG)).collect()} == got
+    assert {(r.seq, r.n_versions) for r in live_rows(spark.createDataFrame(rows, LOG), versions=True).collect()} == {(5, 2), (2, 1), (4, 2)}
+    # a bitmap with room for all keys, for few, and for none to speak of
+    many = [(f"n{i % 7}", f"i{i}", [float(i)], i) for i in range(3000)] + [(f"n{i % 7}", f"i{i}", [float(i)], 10_000 + i) for i in range(0, 3000, 3)]
+    want = {10_000 + i if i % 3 == 0 else i for i in range(3000)}
+    for bits in (1 << 29, 1 << 15, 1 << 10, 2):
+        monkeypatch.setattr(live, "MOST_BITS", bits)
+        got = live_rows(spark.createDataFrame(many, LOG).withColumn("_bucket2", F.lit(1)))
+        assert sorted(r.seq for r in got.collect()) == sorted(want) and got.columns[-1] == "_bucket2"
     assert live_rows(spark.createDataFrame([], LOG)).count() == 0
 
 
