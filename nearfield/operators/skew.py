@@ -26,7 +26,7 @@ def reading_tasks(df: DataFrame) -> int:
     """About how many tasks read df: the bytes of its sources by the size of a split, and no fewer than a shuffle has."""
     spark = df.sparkSession
     plan = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(plan.apply(i).stats().sizeInBytes().toString()) for i in range(plan.size()))
+    size = sum(int(str(plan.apply(i).stats().sizeInBytes())) for i in range(plan.size()))
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     # a source without statistics claims the largest possible size
     tasks = -(-size // split) if size < 1 << 60 else 0
