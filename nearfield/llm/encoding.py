@@ -1,10 +1,11 @@
 """Garbled text from a wrong character encoding.
 
 A multinomial classifier over hashed byte bigrams is trained on clean sentences of the corpus and on the same sentences
-garbled through every encoding chain below. It names the chain of a suspicious run; the chain is then inverted, and the
-restored characters must decode strictly and be characters that the corpus uses. Chains whose inverse nearly always
-decodes (one single-byte encoding read as another) are decided by the classifier over whole sentences; text that was
-replaced by U+FFFD can only be reported.
+garbled through every encoding chain below. It names the most likely chain of each suspicious stretch, among those by which
+the stretch decodes strictly into characters in use; that chain is inverted. Chains whose inverse nearly always decodes
+(one encoding read as another) are named by the classifier over whole sentences, and the restored sentence must be far more
+like intact text and consist of words in use; what words and characters are in use is counted over all documents. What
+decoders leave of bytes that they can't read, U+FFFD and control characters, can only be reported.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from unicodedata import category
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,11 @@ from nearfield.functions.arrays import column
 SINGLE = ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "cp866")
 MULTI = ("cp932",)
 SWAPPED = (("cp1250", "cp1252"), ("iso8859_2", "cp1252"), ("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("koi8_r", "cp1252"), ("cp1251", "koi8_r"), ("cp866", "cp1251"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp850", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "cp1250"), ("cp932", "cp1252"), ("euc_jp", "cp1252"), ("cp932", "latin_1"), ("euc_jp", "latin_1"))
+MULTI_SOURCE = ("cp932", "euc_jp")
 BUCKETS = 1 << 15
+WORD_BUCKETS = 1 << 21
+#: What a decoder leaves of bytes that it can't read: the replacement character, or control characters of no text.
+LOST = regex.compile("[\ufffd\x80-\x84\x86-\x9f]+")
 RUN = regex.compile(r"[^\x00-\x7f]+")
 SENTENCE = regex.compile(r"[^\n.!?。]+[\n.!?。]*|[\n.!?。]+")
 #: Something garbled that the text puts between quotation marks, without any letter of its own: an example.
@@ -67,9 +73,11 @@ def garble(text: str, chain: str) -> str | None:
         raw = text.encode(a)
     except UnicodeEncodeError:
         return None
-    return raw.decode(b, "replace") if b in MULTI else "".join(map(_decoder(b).__getitem__, raw))
+    return raw.decode(b, "replace") if b in MULTI else raw.decode("latin_1").translate(_decoder(b))
 
 
+# fixed values: signs that writers and editors put in place of plain ones
+TYPOGRAPHIC = set("—–…“”‘’„•€«»°\u00a0")
 CP1252 = {c for c in _decoder("cp1252") if ord(c) > 0x9F}
 CHAINS = [*(f"utf8:utf_8>{b}" for b in SINGLE + MULTI), "twice:utf_8>cp1252", *(f"swap:{a}>{b}" for a, b in SWAPPED)]
 STRONG = [c for c in CHAINS if not c.startswith("swap:")]
@@ -84,145 +92,257 @@ def bigrams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Classifier:
-    """Log probabilities of buckets by class; class 0 is intact text. known, words: those of intact text."""
+    """Log probabilities of buckets by class; class 0 is intact text. known: characters in use; counts: words by hash, how
+    often they occur."""
 
     logp: np.ndarray
     known: set[str] = field(default_factory=set)
-    words: set[str] = field(default_factory=set)
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(WORD_BUCKETS, np.int32))
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """A row of class scores for each text; all texts' bigrams are looked up at once."""
+        out = np.zeros((len(texts), len(self.logp)), np.float32)
+        by_bucket = np.ascontiguousarray(self.logp.T)
+        for s in range(0, len(texts), 512):
+            raw = [t.encode("utf-8", "surrogatepass") + b"\0" for t in texts[s : s + 512]]
+            every = np.frombuffer(b"".join(raw), np.uint8)
+            at, h = bigrams(every)
+            inside = (every[at] != 0) & (every[at + 1] != 0)  # not across two texts
+            at, h = at[inside], h[inside]
+            of = np.searchsorted(np.cumsum([len(r) for r in raw]), at, "right")
+            for u in range(0, len(h), 1 << 16):
+                part = by_bucket[h[u : u + (1 << 16)]]
+                rows, first = np.unique(of[u : u + (1 << 16)], return_index=True)
+                if len(rows):
+                    out[s + rows] += np.add.reduceat(part, first, axis=0)
+        return out
+
+    def seen(self, word: str) -> int:
+        return int(self.counts[word_bucket(word)])
 
-    def scores(self, text: str) -> np.ndarray:
-        _, h = bigrams(np.frombuffer(text.encode("utf-8", "surrogatepass") or b"\0\0", np.uint8))
-        return self.logp[:, h].sum(1)
 
+def word_bucket(word: str) -> int:
+    """As Spark's xxhash64 of the lower-case word, modulo the buckets."""
+    return xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass"), 42) % WORD_BUCKETS
 
-def train(sentences: list[str], known_least: int = 3, smooth: float = 0.1) -> Classifier:
-    """Multinomial naive Bayes; sentences that the first model finds garbled are left out of a second training."""
+
+def train(sentences: list[str], known_least: int = 3, smooth: float = 0.1, statistics: tuple[set[str], np.ndarray] | None = None) -> Classifier:
+    """Multinomial naive Bayes; sentences that the first model finds garbled are left out of a second training.
+
+    statistics: characters in use and word counts of the whole collection, else those of the sentences.
+    """
 
     def counts(texts: list[str]) -> np.ndarray:
         raw = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass") + b"\n\n", np.uint8)
         return np.bincount(bigrams(raw)[1], minlength=BUCKETS).astype(np.float64)
 
-    def fit(clean: list[str]) -> np.ndarray:
-        rows = [counts(clean)]
-        for c in CHAINS:
-            garbled = [g for s in clean if "�" not in s and (g := garble(s, c)) is not None and g != s]
-            rows.append(counts(garbled))
+    clean = [s for s in sentences if "\ufffd" not in s]
+    read_as = [[g if g != s else None for s in clean for g in [garble(s, c)]] for c in CHAINS]
+
+    def fit(kept: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(kept).tolist()
+        rows = [counts([clean[i] for i in at])]
+        rows += [counts([g for i in at if (g := garbled[i]) is not None]) for garbled in read_as]
         m = np.array(rows) + smooth
         # a chain never met in training must not win by its even spread
         return np.log(m / m.sum(1, keepdims=True)).astype(np.float32)
 
-    model = Classifier(fit(sentences))
-    intact = [s for s in sentences if "�" not in s and model.scores(s).argmax() == 0]
+    first = Classifier(fit(np.ones(len(clean), bool)))
+    kept = first.scores(clean).argmax(1) == 0
+    intact, logp = [s for s, k in zip(clean, kept, strict=True) if k], fit(kept)
+    if statistics is not None:
+        return Classifier(logp, *statistics)
     seen = Counter(ch for s in intact for ch in set(s) if ord(ch) > 127)
-    words = Counter(w.lower() for s in intact for w in set(WORD.findall(s)))
-    return Classifier(fit(intact), {c for c, n in seen.items() if n >= known_least}, set(words))
+    in_use = np.bincount([word_bucket(w) for s in intact for w in set(WORD.findall(s))], minlength=WORD_BUCKETS).astype(np.int32)
+    return Classifier(logp, {c for c, n in seen.items() if n >= known_least}, in_use)
+
+
+@lru_cache(None)
+def _segments(codec: str) -> regex.Pattern:
+    """Stretches of characters other than ASCII that the single-byte codec can have read bytes as."""
+    chars = sorted(c for c in _encoder(codec) if ord(c) > 127)
+    return regex.compile("[" + "".join(map(regex.escape, chars)) + "]{2,}")
 
 
-def _inverted(run: str, codec: str) -> tuple[str, float] | None:
-    """(restored run, share of its characters that took part), if some of it is well-formed UTF-8 in the codec's bytes."""
+def _inverted(run: str, codec: str) -> list[tuple[int, int, str]]:
+    """(start, end, restored text) of the stretches of a run that decode strictly: the bytes in which the codec would have
+    read them are UTF-8 without an error."""
+    out = []
     if codec in MULTI:
-        raw, width = bytearray(), 0
+        raw, ends = bytearray(), []
         for ch in run:
             try:
                 raw += ch.encode(codec)
             except UnicodeEncodeError:
                 raw += b"\xff"
-        parts = list(UTF8.finditer(bytes(raw)))
-        if not parts:
-            return None
-        width = sum(len(p[0]) for p in parts)
-        return bytes(raw).decode("utf-8", "replace"), width / len(raw)
+            ends.append(len(raw))
+        at = np.array([0, *ends])
+        for p in UTF8.finditer(bytes(raw)):
+            i, j = np.searchsorted(at, p.start(), "right") - 1, np.searchsorted(at, p.end())
+            if p.end() - p.start() >= 0.6 * (at[j] - at[i]):
+                # a character that holds bytes of both sides of the stretch can't be had
+                out.append((int(i), int(j), bytes(raw[at[i] : at[j]]).decode("utf-8", "replace")))
+        return out
     enc = _encoder(codec)
-    raw = bytes(enc.get(c, 0xFF) for c in run)
-    out, last, used = [], 0, 0
-    for p in UTF8.finditer(raw):
-        out += [run[last : p.start()], p[0].decode("utf-8")]
-        last, used = p.end(), used + p.end() - p.start()
-    return ("".join([*out, run[last:]]), used / len(run)) if used else None
+    for m in _segments(codec).finditer(run):
+        found = list(UTF8.finditer(bytes(enc[c] for c in m[0])))
+        # letters that the codec has anyway may fit here and there by chance
+        for p in found if sum(p.end() - p.start() for p in found) >= 0.6 * len(m[0]) else ():
+            out.append((m.start() + p.start(), m.start() + p.end(), p[0].decode("utf-8")))
+    return out
+
+
+@lru_cache(None)
+def _swap_table(chain: str) -> dict[int, str] | None:
+    """What each character of the wrong reading was, where both encodings have a byte a character; else None."""
+    a, _, b = chain.partition(":")[2].partition(">")
+    if a in MULTI_SOURCE:
+        return None
+    right = _decoder(a)
+    return {ord(c): right[byte] for c, byte in _encoder(b).items() if byte > 127}
 
 
 class Detector:
-    def __init__(self, model: Classifier, margin: float = 2.0, swap_margin: float = 5.0):
-        self.m, self.margin, self.swap_margin = model, margin, swap_margin
-        self.swaps = [i + 1 for i, c in enumerate(CHAINS) if c.startswith("swap:")]
+    def __init__(self, model: Classifier, margin: float = 2.0, swap_margin: float = 5.0, alone: float = 14.0, in_use: int = 2):
+        self.m, self.margin, self.swap_margin, self.alone, self.in_use = model, margin, swap_margin, alone, in_use
+        self.swaps = np.array([i + 1 for i, c in enumerate(CHAINS) if c.startswith("swap:")])
         self.feasible = lru_cache(200_000)(self._feasible)
 
-    def _feasible(self, run: str) -> tuple[tuple[int, str, float], ...]:
-        """Chains that some of the run can be inverted by into characters the corpus uses."""
+    def _plausible(self, run: str, text: str) -> bool:
+        """Whether the restored characters are such as the corpus uses."""
+        new = [ch for ch in text if ord(ch) > 127 and ch != "\ufffd"]
+        # three or four bytes that fit are evidence enough; two must give a character in use
+        sure = any("\x80" <= ch <= "\x9f" and ch != "\x85" for ch in run)
+        good = sum((sure and (ord(ch) < 0x180 or 0x370 <= ord(ch) < 0x530)) or ch in self.m.known or 0xA0 <= ord(ch) < 256 or ch in CP1252 or (ord(ch) >= 0x800 and category(ch) not in ("Cn", "Co", "Cs")) for ch in new)
+        return bool(new) and good >= 0.9 * len(new)
+
+    def _feasible(self, run: str) -> tuple[tuple[int, tuple[tuple[int, int, str], ...]], ...]:
+        """(class, stretches) of the chains by which some of the run decodes strictly into characters in use."""
         out = []
         for i, c in enumerate(CHAINS):
-            if c.startswith("utf8:") and (got := _inverted(run, c.partition(">")[2])):
-                fixed, share = got
-                new = [ch for ch in fixed if ord(ch) > 127 and ch != "�"]
-                # three or four bytes that fit are evidence enough; two must give a character in use
-                sure = any("\x80" <= ch <= "\x9f" and ch != "\x85" for ch in run)
-                good = sum((sure and (ord(ch) < 0x180 or 0x370 <= ord(ch) < 0x530)) or ch in self.m.known or 0xA0 <= ord(ch) < 256 or ch in CP1252 or (ord(ch) >= 0x800 and category(ch) not in ("Cn", "Co", "Cs")) for ch in new)
-                if new and good >= 0.9 * len(new):
-                    out.append((i + 1, fixed, share))
+            if c.startswith("utf8:"):
+                got = tuple(x for x in _inverted(run, c.partition(">")[2]) if self._plausible(run[x[0] : x[1]], x[2]))
+                if got:
+                    out.append((i + 1, got))
         return tuple(out)
 
     def restore(self, text: str) -> tuple[str, list[str], list[str]]:
         """(text as far as it can be had, chains inverted, evidence that can't be inverted)."""
-        if text.isascii():
-            return text, [], []
-        chains: list[str] = []
+        return self.process([text])[0]
+
+    def process(self, texts: list[str]) -> list[tuple[str, list[str], list[str]]]:
+        """restore for many texts: the classifier is asked once a round for all of them."""
+        now, chains, lost = list(texts), [[] for _ in texts], [[] for _ in texts]
+        todo = [i for i, t in enumerate(texts) if not t.isascii()]
+        every = todo
         for _ in range(4):  # text garbled twice is undone twice
-            examples = {m.span(1) for m in QUOTED.finditer(text)}
-            inside = sorted(examples)
-            out, last, changed = [], 0, False
+            todo = self._undo_runs(now, chains, todo)
+            if not todo:
+                break
+        self._undo_swaps(now, chains, every)
+        for i in every:
+            quoted = [q.span(1) for q in QUOTED.finditer(now[i])] if LOST.search(now[i]) else []
+            if any(not any(a <= m.start() < b for a, b in quoted) for m in LOST.finditer(now[i])):
+                lost[i].append("lost")
+        return list(zip(now, chains, lost, strict=True))
+
+    def _undo_runs(self, now: list[str], chains: list[list[str]], todo: list[int]) -> list[int]:
+        """Undo the runs of UTF-8 read as something else; the texts that changed."""
+        asked: list[tuple[int, int, int, tuple]] = []
+        context: list[str] = []
+        for i in todo:
+            text, inside = now[i], None
             for m in RUN.finditer(text):
                 options = self.feasible(m[0])
-                if not options or any(a <= m.start() and m.end() <= b or (m.start() <= a and b <= m.end() and m.end() - m.start() <= b - a + 2) for a, b in inside):
+                if not options:
                     continue
-                context = text[max(0, m.start() - 1) : m.end() + 1]
-                s = self.m.scores(context)
-                best = max(options, key=lambda o: (round(o[2], 1), s[o[0]]))
-                # one restored character of two bytes needs the classifier's word; more evidence needs it not to object
-                few = sum(ord(c) > 127 for c in best[1]) == 1 and max(best[1]) < "\u0800"
-                if best[2] < 0.6 or s[best[0]] < s[0] + (self.margin if few else -3 * self.margin):
+                inside = [q.span(1) for q in QUOTED.finditer(text)] if inside is None else inside
+                if any(a <= m.start() and m.end() <= b or (m.start() <= a and b <= m.end() and m.end() - m.start() <= b - a + 2) for a, b in inside):
                     continue
-                out += [text[last : m.start()], best[1]]
-                last, changed = m.end(), True
-                chains.append(CHAINS[best[0] - 1])
-            if not changed:
-                break
-            text = "".join([*out, text[last:]])
-        lost = [m for m in regex.finditer("�+", text) if not any(a <= m.start() < b for a, b in {q.span(1) for q in QUOTED.finditer(text)})]
-        return text, chains, ["lost"] * bool(lost)
-
-    def swapped(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """For each text the sentences (start, end, chain) that one single-byte encoding read as another explains."""
-        out: list[list[tuple[int, int, int]]] = []
-        for t in texts:
-            hits: list[tuple[int, int, int]] = []
-            if not t.isascii():
-                for m in SENTENCE.finditer(t):
-                    s = m[0]
-                    if s.isascii() or "�" in s or QUOTED.sub("", s).isascii():
-                        continue
-                    score = self.m.scores(s)
-                    for k in sorted(self.swaps, key=lambda k: -score[k])[:3]:
-                        if score[k] <= score[0]:
-                            break
-                        # the classifier must also find the restored sentence far more like intact text
-                        undone = self.undo_swap(s, k)
-                        if undone and undone != s and self.m.scores(undone)[0] > score[0] + self.swap_margin and self._more_words(s, undone):
-                            hits.append((*m.span(), k))
-                            break
-            out.append(hits)
-        return out
-
-    def _more_words(self, before: str, after: str) -> bool:
-        """Whether what changed became words (or, without spaces between words, characters) of intact text."""
-        a = set(WORD.findall(before))
-        new = [w for w in WORD.findall(after) if w not in a and len(w) > 1 and not w.isascii()]
+                for stretch in sorted({(a, b) for _, got in options for a, b, _ in got}):
+                    asked.append((i, m.start(), m.end(), (stretch, options)))
+                    context.append(text[max(0, m.start() + stretch[0] - 1) : m.start() + stretch[1] + 1])
+        if not asked:
+            return []
+        edits: dict[int, list[tuple[int, int, str, int]]] = {}
+        for (i, at, _, ((a, b), options)), s in zip(asked, self.m.scores(context), strict=True):
+            # the chain that the classifier holds most likely of those that decode this stretch strictly
+            got = [(k, x[2]) for k, stretches in options for x in stretches if x[:2] == (a, b)]
+            k, fixed = max(got, key=lambda o: s[o[0]])
+            # one restored character of two bytes needs the classifier's word; more evidence needs it not to object
+            few = sum(ord(c) > 127 for c in fixed) == 1 and max(fixed) < "\u0800"
+            if s[k] >= s[0] + (self.margin if few else -3 * self.margin):
+                edits.setdefault(i, []).append((at + a, at + b, fixed, k))
+        for i, found in edits.items():
+            text, out, last = now[i], [], 0
+            # of stretches that overlap the longest counts
+            taken: list[tuple[int, int, str, int]] = []
+            for e in sorted(found, key=lambda e: e[0] - e[1]):
+                if all(e[1] <= x[0] or x[1] <= e[0] for x in taken):
+                    taken.append(e)
+            for a, b, fixed, k in sorted(taken):
+                out += [text[last:a], fixed]
+                last = b
+                chains[i].append(CHAINS[k - 1])
+            now[i] = "".join([*out, text[last:]])
+        return list(edits)
+
+    def _undo_swaps(self, now: list[str], chains: list[list[str]], todo: list[int]) -> None:
+        """Undo the sentences that one encoding read as another explains."""
+        spans: list[tuple[int, int, int]] = []
+        for i in todo:
+            for m in SENTENCE.finditer(now[i]):
+                if not m[0].isascii() and "\ufffd" not in m[0] and not QUOTED.sub("", m[0]).isascii():
+                    spans.append((i, *m.span()))
+        if not spans:
+            return
+        before = [now[i][a:b] for i, a, b in spans]
+        score = self.m.scores(before)
+        n, likely = np.nonzero(score[:, self.swaps] > score[:, :1])
+        tries, undone = [], []
+        for j, k in zip(n.tolist(), self.swaps[likely].tolist(), strict=True):
+            u = self.undo_swap(before[j], k)
+            if u is not None and u != before[j]:
+                tries.append((j, k))
+                undone.append(u)
+        if not tries:
+            return
+        # the classifier must also find the restored sentence far more like intact text
+        gain = self.m.scores(undone)[:, 0] - score[[j for j, _ in tries], 0]
+        best: dict[int, tuple[float, int, str]] = {}
+        for (j, k), u, g in zip(tries, undone, gain.tolist(), strict=True):
+            if g > self.swap_margin and (j not in best or score[j, k] > best[j][0]) and self._more_words(before[j], u, g):
+                best[j] = (float(score[j, k]), k, u)
+        for j in sorted(best, reverse=True):
+            i, a, b = spans[j]
+            now[i] = now[i][:a] + best[j][2] + now[i][b:]
+            chains[i].append(CHAINS[best[j][1] - 1])
+
+    def _more_words(self, before: str, after: str, gain: float) -> bool:
+        """Whether what changed became words in use (or, without spaces between words, characters in use); where no
+        words changed the classifier alone must be sure."""
         ideographs = [c for c in after if ord(c) >= 0x3000]
         if len(ideographs) >= 4:
             return sum(c in self.m.known for c in ideographs) >= 0.8 * len(ideographs)
-        good = sum(w.lower() in self.m.words for w in new)
-        return good > 0 and good >= 0.5 * len(new)
+        old, new = (Counter(w for w in WORD.findall(x)) for x in (before, after))
+        gone, come = list((old - new).elements()), list((new - old).elements())
+        if any("\x80" <= c <= "\x9f" and c != "\x85" for c in after):
+            return False
+        # a word counts as in use if it is clearly more common than what it was read as
+        common = max((self.m.seen(w) for w in gone if not w.isascii() or len(w) > 2), default=0)
+        good = sum(self.m.seen(w) > max(self.in_use, 4 * common) for w in come)
+        if come:
+            return good >= 0.5 * len(come) and any(not w.isascii() or len(w) > 1 for w in come) and (gain > self.alone or any(not w.isascii() and len(w) > 1 for w in come))
+        changed = {(a, b) for a, b in zip(before, after, strict=False) if a != b}
+        return gain > self.alone and not gone and len(before) == len(after) and all(b in TYPOGRAPHIC and a not in TYPOGRAPHIC and a < "\u0180" for a, b in changed)
 
     def undo_swap(self, sentence: str, k: int) -> str | None:
+        table = _swap_table(CHAINS[k - 1])
+        if table is not None:
+            try:
+                return "".join([c if c < "\x80" else table[ord(c)] for c in sentence])
+            except KeyError:
+                return None
         a, _, b = CHAINS[k - 1].partition(":")[2].partition(">")
         try:
             return bytes(_encoder(b)[c] for c in sentence).decode(a)
@@ -247,35 +367,38 @@ def training_sentences(docs: DataFrame, sample_docs: int = 8_192, per_doc: int =
     return sorted(set(rows.mapInArrow(cut, "s string").toArrow()["s"].to_pylist()))
 
 
+def corpus_statistics(docs: DataFrame, known_least: int = 3) -> tuple[set[str], np.ndarray]:
+    """Over all documents: the characters that at least known_least of them use, and for each word, by its hash, how many
+    use it. The first can't outgrow Unicode, the second has a fixed size."""
+    texts = docs.select("text").filter(F.col("text").rlike(r"[^\x00-\x7f]"))
+    chars = texts.select(F.explode(F.array_distinct(F.split(F.regexp_replace("text", r"[\x00-\x7f]+", ""), ""))).alias("c"))
+    known = {r.c for r in chars.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= known_least).collect()}
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}'’]+|(?<![\p{L}\p{M}])['’]|['’](?![\p{L}\p{M}])"))).alias("w")).filter("w <> ''")
+    got = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(WORD_BUCKETS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(WORD_BUCKETS, np.int32)
+    counts[got["b"].to_numpy()] = np.minimum(got["n"].to_numpy(), np.iinfo(np.int32).max)
+    return known, counts
+
+
 def restore_encoding(docs: DataFrame, model: Classifier | None = None, **kw: int) -> DataFrame:
     """doc_id, chains, restored, is_lossy for each document that holds wrongly decoded text, wholly or in places.
 
     docs: doc_id, text; other columns are ignored. restored is the text with every run undone that can be; is_lossy says
     that some can't. Null, empty and plain ASCII texts are intact, as are quoted examples. Whole texts are read.
     """
-    model = model or train(training_sentences(docs, **kw))
+    model = model or train(training_sentences(docs, **kw), statistics=corpus_statistics(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         det = Detector(model)
         for b in batches:
-            ids, chains, fixed, lossy = [], [], [], []
-            for i, t in zip(column(b, "doc_id").to_pylist(), column(b, "text").to_pylist(), strict=True):
-                if not t or t.isascii():
-                    continue
-                text, how, lost = det.restore(t)
-                for s, e, k in reversed(det.swapped([text])[0]):
-                    undone = det.undo_swap(text[s:e], k)
-                    how.append(CHAINS[k - 1])
-                    if undone is None:
-                        lost.append("swap")
-                    else:
-                        text = text[:s] + undone + text[e:]
-                if how or lost:
-                    ids.append(i)
-                    chains.append(sorted(set(how)))
-                    fixed.append(text)
-                    lossy.append(bool(lost))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(chains, pa.list_(pa.string())), pa.array(fixed, pa.string()), pa.array(lossy)], ["doc_id", "chains", "restored", "is_lossy"])
+            # so many texts at a time as the scores of their sentences take little memory
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                ids, texts = column(part, "doc_id"), [t or "" for t in column(part, "text").to_pylist()]
+                found = [(i, *r) for i, r in enumerate(det.process(texts)) if r[1] or r[2]]
+                if found:
+                    at, fixed, chains, lost = zip(*found, strict=True)
+                    cols = [ids.take(pa.array(at)), pa.array([sorted(set(c)) for c in chains], pa.list_(pa.string())), pa.array(fixed, pa.string()), pa.array([bool(x) for x in lost])]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "chains", "restored", "is_lossy"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chains array<string>, restored string, is_lossy boolean")

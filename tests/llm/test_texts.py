@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nearfield.llm.encoding import CHAINS, Detector, garble, restore_encoding, train
+from nearfield.llm.encoding import CHAINS, Detector, corpus_statistics, garble, restore_encoding, train, word_bucket
 from nearfield.llm.mix import mixture
 from nearfield.llm.pack import pack_windows, packed_windows, window_report
 from nearfield.llm.split import split_elements, split_text, token_sizes
@@ -184,18 +184,44 @@ def test_utf8_read_wrongly_is_restored(model, chain):
 
 @pytest.mark.parametrize("chain, lang", [("swap:cp1251>cp1252", "ru"), ("swap:koi8_r>cp1251", "ru"), ("swap:mac_roman>cp1252", "fr"), ("swap:iso8859_2>cp1252", "pl"), ("swap:cp932>latin_1", "ja")])
 def test_swapped_encodings_are_found(model, chain, lang):
-    det = Detector(model)
+    det = Detector(model, in_use=0)
     for s in CLEAN[lang]:
         bad = garble(s, chain)
-        hits = det.swapped([bad])[0]
-        assert hits and det.undo_swap(bad[hits[0][0] : hits[0][1]], hits[0][2])
+        text, how, _ = det.restore(bad)
+        assert how and text != bad
 
 
 def test_intact_texts_stay(model):
     det = Detector(model)
     intact = [*SENTENCES, "Map key: ÅÄÖ, ØRE, Ñ, ß.", "Sticker text: Καλή όρεξη, ÂMBAR, MAÇÃ.", "The viewer printed \"Ã©\" where the note has \"é\".", "La consola mostraba «Ã©» en vez de «é».", "The font draws \"�\" instead.", "AÑO EN REVISIÓN", "├───┼───┤", "BÂTIMENT CÔTÉ COUR", "「ÉTÉ»"]
     for s in intact:
-        assert det.restore(s) == (s, [], []) and not det.swapped([s])[0], s
+        assert det.restore(s) == (s, [], []), s
+    assert det.process(intact) == [(s, [], []) for s in intact]
+
+
+def test_garbled_places_inside_other_text(model):
+    det = Detector(model)
+    for chain in ("utf8:utf_8>mac_roman", "utf8:utf_8>cp437"):
+        word, after = "同じ内容のメモ", "が二つあるため、新しい方を残す。"
+        text, how, _ = det.restore(garble(word, chain) + after)
+        assert how and text == word + after
+    assert det.restore("A stray \x8d control character.")[2] == ["lost"] and det.restore("A next line\x85here.") == ("A next line\x85here.", [], [])
+
+
+def test_scores_of_many_texts_are_those_of_each(model):
+    texts = ["é", "", "plain", "a\0é", *SENTENCES] * 60
+    many = model.scores(texts)
+    assert all(np.allclose(model.scores([t])[0], row, atol=1e-3) for t, row in list(zip(texts, many))[:40])
+    assert not many[1].any() and not many[2].any()
+
+
+def test_corpus_statistics(spark):
+    df = spark.createDataFrame([(i, "Größere Texte: l’été, ÉTÉ…" if i < 4 else None) for i in range(6)] + [(9, "")], "doc_id long, text string")
+    known, counts = corpus_statistics(df)
+    assert known == set("öß’éÉ…") and counts.sum() == 4 * 4
+    assert all(counts[word_bucket(w)] == 4 for w in ("größere", "Texte", "l’été", "été"))
+    none = corpus_statistics(df.limit(0))
+    assert none[0] == set() and not none[1].any()
 
 
 def test_restore_encoding(spark, model):
