@@ -325,14 +325,15 @@ class Detector:
         if len(ideographs) >= 4:
             return sum(c in self.m.known for c in ideographs) >= 0.8 * len(ideographs)
         old, new = (Counter(w for w in WORD.findall(x)) for x in (before, after))
-        gone, come = list((old - new).elements()), list((new - old).elements())
+        # a letter by itself is no evidence
+        gone, come = ([w for w in x.elements() if len(w) > 1] for x in (old - new, new - old))
         if any("\x80" <= c <= "\x9f" and c != "\x85" for c in after):
             return False
         # a word counts as in use if it is clearly more common than what it was read as
         common = max((self.m.seen(w) for w in gone if not w.isascii() or len(w) > 2), default=0)
         good = sum(self.m.seen(w) > max(self.in_use, 4 * common) for w in come)
         if come:
-            return good >= 0.5 * len(come) and any(not w.isascii() or len(w) > 1 for w in come) and (gain > self.alone or any(not w.isascii() and len(w) > 1 for w in come))
+            return good >= 0.5 * len(come) and (gain > self.alone or not all(w.isascii() for w in come))
         changed = {(a, b) for a, b in zip(before, after, strict=False) if a != b}
         return gain > self.alone and not gone and len(before) == len(after) and all(b in TYPOGRAPHIC and a not in TYPOGRAPHIC and a < "\u0180" for a, b in changed)
 

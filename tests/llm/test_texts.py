@@ -193,7 +193,7 @@ def test_swapped_encodings_are_found(model, chain, lang):
 
 def test_intact_texts_stay(model):
     det = Detector(model)
-    intact = [*SENTENCES, "Map key: ÅÄÖ, ØRE, Ñ, ß.", "Sticker text: Καλή όρεξη, ÂMBAR, MAÇÃ.", "The viewer printed \"Ã©\" where the note has \"é\".", "La consola mostraba «Ã©» en vez de «é».", "The font draws \"�\" instead.", "AÑO EN REVISIÓN", "├───┼───┤", "BÂTIMENT CÔTÉ COUR", "「ÉTÉ»"]
+    intact = [*SENTENCES, "Map key: ÅÄÖ, ØRE, Ñ, ß.", "Sticker text: Καλή όρεξη, ÂMBAR, MAÇÃ.", "The viewer printed \"Ã©\" where the note has \"é\".", "La consola mostraba «Ã©» en vez de «é».", "The font draws \"�\" instead.", "AÑO EN REVISIÓN", "├───┼───┤", "BÂTIMENT CÔTÉ COUR", "「ÉTÉ»", "mem:14 — The cost estimate is about 5 per month."]
     for s in intact:
         assert det.restore(s) == (s, [], []), s
     assert det.process(intact) == [(s, [], []) for s in intact]
