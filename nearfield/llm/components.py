@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,20 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"links form chains that {max_rounds} rounds don't resolve")
     stars = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component")).distinct()
+
+
+def star_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) as one link a node to the smallest node of its chain."""
+    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = np.unique(np.sort(inv.reshape(2, -1), axis=0), axis=1) if len(a) else (inv[:0], inv[:0])
+    low = np.arange(len(nodes))
+    while len(x):
+        new, least = low.copy(), np.minimum(low[x], low[y])
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    away = low != np.arange(len(nodes))
+    return nodes[away], nodes[low[away]]

@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.arrays import bytes_rows, column, copy_classes, cosines, row_bytes, row_hash, unit, usable_by_dim
 from nearfield.llm.blocks import with_blocks
-from nearfield.llm.components import components
-from nearfield.operators.live import live_keys
+from nearfield.llm.components import components, star_links
+from nearfield.operators.live import live_rows
 from nearfield.session import persist_table
 
 BITS = 1024
 #: Words of 64 bits compared first; the whole fingerprint serves the tree and the second look.
 HEAD = 4
 SHARD = "namespace string, dim int, leaf int, i int, j int, slice int, is_home boolean, raw binary, members array<struct<item_id:string,seq:bigint>>"
-FOUND = "namespace string, a long, b long, item_id string, seq long"
+FOUND = "namespace string, a long, b long, item_id string, seq long, n long"
 
 
 def radius(cosine: float, bits: int, miss: float = 1e-4) -> int:
@@ -149,28 +149,22 @@ def _compare(members: np.ndarray, asking: np.ndarray, fp: np.ndarray, raw: np.nd
                         yield x[ok], y[ok]
 
 
-def _lists(col: pa.ListArray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, element number) of the elements of the lists in `order`; owner counts along `order`."""
-    off = np.asarray(col.offsets)
-    n = (off[1:] - off[:-1])[order]
-    owner = np.repeat(np.arange(len(order)), n)
-    return owner, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + off[:-1][order][owner]
-
-
-def near_copy_classes(log: DataFrame, cosine: float = 0.97, block_rows: int = 32_768, sample_rows: int = 16_384) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of the live usable rows of each namespace and dimension.
+def near_copy_classes(log: DataFrame, cosine: float = 0.97, block_rows: int = 32_768, sample_rows: int = 16_384, stars: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, degrees) of the live usable rows of each namespace and dimension.
 
     members: namespace, cls, item_id, seq - the items of each class of equal vectors that has a partner or two items;
-    links: a, b - pairs of classes whose cosine reaches the threshold. cls is a seq of the class. Null item_ids form an
-    item. Null, empty, non-finite and zero vectors take no part, nor do rows without seq.
+    links: a, b - pairs of classes whose cosine reaches the threshold, or with `stars` no more than a link a class and
+    shard that connect the same classes; degrees (with stars): cls, n_links - the pairs that a class has. cls is the
+    smallest seq of the class. Null item_ids form an item. Null, empty, non-finite and zero vectors take no part, nor do
+    rows without seq.
 
     sample_rows bounds the sample on which the shard tree is built; it decides the layout alone, never the result.
     """
-    log = log.filter("seq IS NOT NULL").select("namespace", "item_id", "seq", "vector")
-    rows, n_large = with_blocks(log, block_rows)
+    rows, n_large = with_blocks(live_rows(log.select("namespace", "item_id", "seq", "vector")), block_rows)
     r, r_head = radius(cosine, BITS), radius(cosine, HEAD * 64)
     trees: dict[int, VantageTree] = {}
     slices: dict[tuple, int] = {}
+    sampled: set[tuple] = set()
     if n_large:
         each = max(16, sample_rows // n_large)
         picked = rows.filter((F.col("n_blocks") > 1) & (F.pmod(F.xxhash64("item_id", F.lit(7)), F.greatest("n_rows", F.lit(1))) < each))
@@ -183,6 +177,7 @@ def near_copy_classes(log: DataFrame, cosine: float = 0.97, block_rows: int = 32
             total: dict[str, int] = {}
             for x in ns:
                 total[x] = total.get(x, 0) + 1
+            sampled |= {(x, d) for x in total}
             share: dict[tuple, float] = {}
             for x, leaf, rows_of in zip(ns, home, n, strict=True):
                 share[x, d, int(leaf)] = share.get((x, d, int(leaf)), 0) + rows_of / total[x]
@@ -213,7 +208,14 @@ def near_copy_classes(log: DataFrame, cosine: float = 0.97, block_rows: int = 32
                     leaf.append(np.full(len(big), -1, np.int32))
                 who, leaf = np.concatenate(who), np.concatenate(leaf)
                 # a shard too large for one task is cut into slices, compared slice by slice
-                n_sl = np.array([slices.get((names[code[uniq[w]]], d, int(lf)), 1) for w, lf in zip(who, leaf, strict=True)]) if slices else np.ones(len(who), np.int64)
+                n_sl = np.ones(len(who), np.int64)
+                for c in np.unique(code[uniq[big]]):
+                    mine = np.flatnonzero(is_large[who] & (code[uniq[who]] == c))
+                    if (names[c], d) in sampled:
+                        n_sl[mine] = [slices.get((names[c], d, lf), 1) for lf in leaf[mine].tolist()]
+                    elif len(mine):
+                        # nothing is known of its shards: as many slices as would do for the namespace
+                        n_sl[mine] = column(b, "n_blocks").to_numpy()[at[uniq[who[mine[0]]]]]
                 sl = (row_hash(m[uniq])[who] % n_sl.astype(np.uint64)).astype(np.int32)
                 rep = np.repeat(np.arange(len(who)), n_sl)
                 other = (np.arange(len(rep)) - np.repeat(np.cumsum(n_sl) - n_sl, n_sl)).astype(np.int32)
@@ -232,58 +234,84 @@ def near_copy_classes(log: DataFrame, cosine: float = 0.97, block_rows: int = 32
                     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
-        if t is None or not t.num_rows:
-            return
-        ns = pc.fill_null(t["namespace"].combine_chunks().dictionary_encode(null_encoding="encode").indices, -1).to_numpy(zero_copy_only=False)
-        dim, leaf, i, j = (t[c].to_numpy() for c in ("dim", "leaf", "i", "j"))
-        sl_all, home_all, members = t["slice"].to_numpy(), t["is_home"].to_numpy(), t["members"].combine_chunks()
-        el_seq, el_item = members.values.field("seq").to_numpy(), members.values.field("item_id")
-        raw_all = t["raw"].combine_chunks()
-        order = np.lexsort((j, i, leaf, dim, ns))
-        key = np.stack([x[order] for x in (ns, dim, leaf, i, j)])
-        for g in np.split(order, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1):
-            d = int(dim[g[0]])
-            raw = bytes_rows(raw_all.take(pa.array(g)), d)
-            # copies met in different batches become one class; its number is the smallest seq of it
-            uniq, cls = np.unique(copy_classes(raw), return_inverse=True)
-            owner, el = _lists(members, g)
-            seq = np.full(len(uniq), np.iinfo(np.int64).max)
-            np.minimum.at(seq, cls[owner], el_seq[el])
-            n_items = np.bincount(cls[owner], minlength=len(uniq))
-            raw, home, sl = raw[uniq], home_all[g][uniq], sl_all[g][uniq]
-            fp = fingerprints(unit(raw))
-            linked = np.zeros(len(uniq), bool)
-            if i[g[0]] == j[g[0]]:
-                runs = [(np.flatnonzero(home), np.arange(len(uniq)))]
-            else:
-                runs = [(np.flatnonzero(home & (sl == x)), np.flatnonzero(sl == y)) for x, y in ((i[g[0]], j[g[0]]), (j[g[0]], i[g[0]]))]
-            name = t["namespace"].combine_chunks().take(pa.array(g[:1]))[0]
-            for m, q in runs:
-                if not len(m) or not len(q):
+        """The partition is sorted: one shard's rows at a time."""
+        key, parts = None, []
+        for b in batches:
+            code = column(b, "namespace").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            cols = [code, *(column(b, c).to_numpy() for c in ("dim", "leaf", "i", "j"))]
+            cut = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols], axis=0)) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
+                if s == e:
+                    continue
+                now = (column(b, "namespace")[s].as_py(), *(int(c[s]) for c in cols[1:]))
+                if now != key:
+                    if parts:
+                        yield from compare_shard(*key, parts)
+                    key, parts = now, []
+                parts.append(b.slice(s, e - s))
+        if parts:
+            yield from compare_shard(*key, parts)
+
+    def rows_of(name: str | None, size: int, **cols: pa.Array) -> pa.RecordBatch:
+        kinds = {"a": pa.int64(), "b": pa.int64(), "item_id": pa.string(), "seq": pa.int64(), "n": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array([name] * size, pa.string()), *(cols[c] if c in cols else pa.nulls(size, k) for c, k in kinds.items())], ["namespace", *kinds])
+
+    def compare_shard(name: str | None, d: int, leaf: int, i: int, j: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = np.concatenate([bytes_rows(column(p, "raw"), d) for p in parts])
+        home, sl = (np.concatenate([column(p, c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("is_home", "slice"))
+        lists = [column(p, "members") for p in parts]
+        n_each = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists])
+        elements = [x.flatten() for x in lists]
+        el_seq = np.concatenate([x.field("seq").to_numpy(zero_copy_only=False) for x in elements]).astype(np.int64)
+        el_item = pa.chunked_array([x.field("item_id") for x in elements], pa.string())
+        # copies met in different batches become one class; its number is the smallest seq of it
+        uniq, cls = np.unique(copy_classes(raw), return_inverse=True)
+        owner = cls[np.repeat(np.arange(len(n_each)), n_each)]
+        seq = np.full(len(uniq), np.iinfo(np.int64).max)
+        np.minimum.at(seq, owner, el_seq)
+        n_items = np.bincount(owner, minlength=len(uniq))
+        raw, home, sl = raw[uniq], home[uniq], sl[uniq]
+        fp = fingerprints(unit(raw))
+        degree = np.zeros(len(uniq), np.int64)
+        if i == j:
+            runs = [(np.flatnonzero(home), np.arange(len(uniq)))]
+        else:
+            runs = [(np.flatnonzero(home & (sl == x)), np.flatnonzero(sl == y)) for x, y in ((i, j), (j, i))]
+        star, waiting = (np.empty(0, np.int64), np.empty(0, np.int64)), 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for m, q in runs:
+            for a, b in _compare(m, q, fp, raw, seq, cosine, r, r_head) if len(m) and len(q) else ():
+                degree += np.bincount(a, minlength=len(uniq)) + np.bincount(b, minlength=len(uniq))
+                if not stars:
+                    yield rows_of(name, len(a), a=pa.array(seq[a]), b=pa.array(seq[b]))
                     continue
-                for a, b in _compare(m, q, fp, raw, seq, cosine, r, r_head):
-                    linked[a] = linked[b] = True
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(a), pa.string()), pa.array(seq[a]), pa.array(seq[b]), pa.nulls(len(a), pa.string()), pa.nulls(len(a), pa.int64())], ["namespace", "a", "b", "item_id", "seq"])
-            # a visitor's members are told too: the partner's shard alone may have found the link
-            tell = linked | ((n_items > 1) & home)
-            e = el[tell[cls[owner]]]
-            c = seq[cls[owner]][tell[cls[owner]]]
-            for s in range(0, len(e), 65_536):
-                n = len(e[s : s + 65_536])
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * n, pa.string()), pa.array(c[s : s + n]), pa.nulls(n, pa.int64()), el_item.take(pa.array(e[s : s + n])), pa.array(el_seq[e[s : s + n]])], ["namespace", "a", "b", "item_id", "seq"])
+                held.append((a, b))
+                waiting += len(a)
+                if waiting > 1 << 20:
+                    star, held, waiting = star_links(*(np.concatenate(x) for x in zip(star, *held, strict=True))), [], 0
+        if stars:
+            a, b = star_links(*(np.concatenate(x) for x in zip(star, *held, strict=True)))
+            yield rows_of(name, len(a), a=pa.array(seq[a]), b=pa.array(seq[b]))
+            linked = np.flatnonzero(degree)
+            yield rows_of(name, len(linked), a=pa.array(seq[linked]), n=pa.array(degree[linked]))
+        # a visitor's members are told too: the partner's shard alone may have found the link
+        e = np.flatnonzero(((degree > 0) | ((n_items > 1) & home))[owner])
+        for s in range(0, len(e), 65_536):
+            part = e[s : s + 65_536]
+            yield rows_of(name, len(part), a=pa.array(seq[owner[part]]), item_id=el_item.take(pa.array(part)).combine_chunks(), seq=pa.array(el_seq[part]))
 
     shards = rows.select("namespace", "item_id", "seq", "vector", "n_blocks").mapInArrow(shard, SHARD)
-    found = persist_table(shards.repartition("namespace", "dim", "leaf", "i", "j").mapInArrow(compare, FOUND), "near-copies")
-    live = live_keys(log).select("seq")
-    members = found.filter("b is null").select("namespace", F.col("a").alias("cls"), "item_id", "seq").distinct().join(live, "seq", "left_semi")
+    by = ("namespace", "dim", "leaf", "i", "j")
+    found = persist_table(shards.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, FOUND), "near-copies")
+    members = found.filter("seq is not null").select("namespace", F.col("a").alias("cls"), "item_id", "seq").distinct()
     links = found.filter("b is not null").select("a", "b").distinct()
-    return members, links
+    degrees = found.filter("n is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n_links"))
+    return members, links, degrees
 
 
 def near_copy_pairs(log: DataFrame, cosine: float = 0.97, **kw: int) -> DataFrame:
     """(namespace, item_a, item_b) with item_a < item_b: all pairs of different items; an item with a null id has no pair."""
-    members, links = near_copy_classes(log, cosine, **kw)
+    members, links, _ = near_copy_classes(log, cosine, **kw)
     m = members.select("namespace", "cls", "item_id")
     both = links.unionByName(members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b")))
     x = m.select(F.col("cls").alias("a"), "namespace", F.col("item_id").alias("x"))
@@ -295,13 +323,9 @@ def near_copy_pairs(log: DataFrame, cosine: float = 0.97, **kw: int) -> DataFram
 def near_copy_groups(log: DataFrame, cosine: float = 0.97, **kw: int) -> DataFrame:
     """(namespace, item_id, seq, group_id, n_links) for each item with a partner; group_id is the smallest class number of
     the chain of links, n_links the number of other classes linked to the item's class."""
-    members, links = near_copy_classes(log, cosine, **kw)
-    members = persist_table(members, "near-copy-members")
-    alive = members.select("cls").distinct()
-    links = persist_table(links.join(alive.withColumnRenamed("cls", "a"), "a", "left_semi").join(alive.withColumnRenamed("cls", "b"), "b", "left_semi"), "near-copy-links")
+    members, links, degrees = near_copy_classes(log, cosine, stars=True, **kw)
     group = components(links)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("n_links"))
-    out = members.join(group.withColumnRenamed("node", "cls"), "cls", "left").join(both, "cls", "left")
     size = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    out = members.join(group.withColumnRenamed("node", "cls"), "cls", "left").join(degrees, "cls", "left")
     out = out.join(size, "cls").filter("n > 1 or n_links > 0")
     return out.select("namespace", "item_id", "seq", F.coalesce("component", "cls").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
