@@ -90,20 +90,23 @@ class ProjectedTree:
     def _verify(self, q: np.ndarray, of: np.ndarray, leaves: np.ndarray, best: np.ndarray, which: np.ndarray) -> None:
         """Merge the rows of leaves (a row of leaf numbers, -1 for none, for each query in `of`) into the best so far."""
         k, nl, width = best.shape[1], leaves.shape[1], int((self.end - self.start).max())
-        sims = np.full((len(of) * nl, width), -2, np.float32)
-        rows = np.full((len(of) * nl, width), -1, np.int64)
-        flat, owner = leaves.ravel(), np.repeat(of, nl)
-        grouped = np.argsort(flat, kind="stable")
-        grouped = grouped[np.searchsorted(flat[grouped], 0) :]
-        for g in np.split(grouped, np.flatnonzero(np.diff(flat[grouped])) + 1) if len(grouped) else ():
-            s, e = self.start[flat[g[0]]], self.end[flat[g[0]]]
-            sims[g, : e - s] = q[owner[g]] @ self.x[s:e].T
-            rows[g, : e - s] = np.arange(s, e)
-        sims = np.concatenate([best[of], sims.reshape(len(of), -1)], 1)
-        rows = np.concatenate([which[of], rows.reshape(len(of), -1)], 1)
+        sims = np.full((len(of), k + nl * width), -2, np.float32)
+        sims[:, :k] = best[of]
+        places = sims[:, k:].reshape(len(of), nl, width)
+        row, col = np.divmod(np.argsort(leaves, axis=None, kind="stable"), nl)
+        flat = leaves[row, col]
+        cuts = np.flatnonzero(np.diff(flat)) + 1
+        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(flat)], strict=True):
+            if flat[s] >= 0:
+                a, b = self.start[flat[s]], self.end[flat[s]]
+                places[row[s:e], col[s:e], : b - a] = q[of[row[s:e]]] @ self.x[a:b].T
+        sims[:, k:] = places.reshape(len(of), -1)
         top = np.argpartition(sims, -k, axis=1)[:, -k:]
-        best[of] = np.take_along_axis(sims, top, 1)
-        which[of] = np.take_along_axis(rows, top, 1)
+        value = np.take_along_axis(sims, top, 1)
+        nth, off = np.divmod(np.maximum(top - k, 0), width)
+        new = np.where(value > -2, self.start[np.take_along_axis(leaves, nth, 1)] + off, -1)
+        which[of] = np.where(top < k, np.take_along_axis(which[of], np.minimum(top, k - 1), 1), new)
+        best[of] = value
 
     def search(self, q: np.ndarray, k: int, stop_factor: float, leaves_at_once: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """(row numbers, float32 cosines) of the k best per query, padded by -1; unsorted."""
@@ -246,7 +249,7 @@ class Block:
 
 
 
-def nearest(log: DataFrame, is_query: Column, k: int = 10, m: int = 10, stop: float = 0.95, leaf: int = 64, block_rows: int = 65_536, sample_rows: int = 65_536, dims: tuple[int, ...] | None = None) -> DataFrame:
+def nearest(log: DataFrame, is_query: Column, k: int = 10, m: int = 10, stop: float = 0.95, leaf: int = 256, block_rows: int = 32_768, sample_rows: int = 65_536, dims: tuple[int, ...] | None = None) -> DataFrame:
     """For each live usable row that satisfies `is_query`, the k items of its namespace and dimension of highest cosine.
 
     log: namespace, item_id, vector, seq (other columns are ignored). A key's row of highest seq is its live one, usable or
