@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.codec import decode_blob
+from nearfield.operators.index import stats
+
+
+class Destination(Protocol):
+    """An index that takes vectors."""
+
+    def upsert_vectors(self, rows: DataFrame) -> int: ...
+
+    def load(self) -> DataFrame: ...
+
 
 # fixed values: how the migrated keys are written
 NAMESPACE_PREFIX = "cpersona:"
@@ -59,3 +72,37 @@ def summary(memories: DataFrame, episodes: DataFrame | None, agent_id: str | Non
         F.count_if(F.col("ok") > 0).alias("n_vectors"),
         F.countDistinct(F.when(F.col("ok") > 0, F.col("namespace"))).alias("n_namespaces"),
     )
+
+
+@dataclass(frozen=True)
+class Migration:
+    """What a migration read, skipped and wrote; code is 0 unless there was no store to read. total and namespaces: of the
+    whole index afterwards, None where nothing was written."""
+
+    code: int
+    message: str
+    n_rows: int = 0
+    n_migrated: int = 0
+    n_skipped: int = 0
+    n_total: int | None = None
+    n_namespaces: int | None = None
+
+
+def migrate(index: Destination, memories: DataFrame, episodes: DataFrame | None, agent_id: str | None = None, expect_dim: int | None = None, dry_run: bool = False) -> Migration:
+    """Upsert the stored embeddings into the index, verbatim.
+
+    A table that is no memory store gives code 1; a dry run and an empty selection write nothing. Vectors of another
+    dimension than expect_dim are skipped and counted.
+    """
+    try:
+        read = summary(memories, episodes, agent_id, expect_dim).first()
+    except ValueError as e:
+        return Migration(1, str(e))
+    counts = (read.n_rows, read.n_migrated, read.n_skipped)
+    if dry_run:
+        return Migration(0, "dry run: nothing written", *counts)
+    if not read.n_migrated:
+        return Migration(0, "nothing to migrate", *counts)
+    index.upsert_vectors(backfill(memories, episodes, agent_id, expect_dim).select("namespace", "item_id", "vector"))
+    now = stats(index.load()).first()
+    return Migration(0, "done", *counts, now.n_vectors, now.n_namespaces)

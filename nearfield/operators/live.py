@@ -12,11 +12,11 @@ BITS_PER_KEY, LEAST_BITS, MOST_BITS = 64, 1 << 15, 1 << 29
 
 
 def live_keys(log: DataFrame, keys: Sequence[str] = ("namespace", "item_id"), order: str = "seq") -> DataFrame:
-    """One row per key with the highest `order` and the number of versions; reads only these columns.
+    """One row per key with the highest and the lowest `order` and the number of versions; reads only these columns.
 
     The aggregate combines on the map side, so a key with very many versions costs one row per task.
     """
-    return log.groupBy(*keys).agg(F.max(order).alias(order), F.count(F.lit(1)).alias("n_versions"))
+    return log.groupBy(*keys).agg(F.max(order).alias(order), F.min(order).alias(f"first_{order}"), F.count(F.lit(1)).alias("n_versions"))
 
 
 def _words(hashes: DataFrame, n_bits: int) -> DataFrame:
@@ -40,7 +40,7 @@ def live_rows(log: DataFrame, keys: Sequence[str] = ("namespace", "item_id"), or
 
     Null keys form a key of their own; rows with a null `order` are no part of the log and are left out. A row delivered
     twice with the same `order` comes out twice. `order` is unique in the log otherwise. With `versions` the rows get
-    n_versions, the number of rows of their key.
+    n_versions, the number of rows of their key, and the lowest `order` among them as first_<order>.
 
     Keys with several versions are found on keys alone, and a bitmap of their hashes, bounded in size, is sent to all
     tasks. Rows that it excludes are live and stay where they are; the others meet the live `order`s in a semi join, which
@@ -50,7 +50,7 @@ def live_rows(log: DataFrame, keys: Sequence[str] = ("namespace", "item_id"), or
     per_key = live_keys(log, keys, order)
     hashes = per_key.filter("n_versions > 1").select(F.xxhash64(*keys).alias("h")).persist()
     n = hashes.count()
-    one = {"n_versions": F.lit(1).cast("long")} if versions else {}
+    one = {"n_versions": F.lit(1).cast("long"), f"first_{order}": F.col(order)} if versions else {}
     if not n:
         return log.withColumns(one)
     n_bits = min(max(1 << (n * BITS_PER_KEY - 1).bit_length(), LEAST_BITS), MOST_BITS)
@@ -60,5 +60,5 @@ def live_rows(log: DataFrame, keys: Sequence[str] = ("namespace", "item_id"), or
     kept = [F.col(f"`{c}`") for c in log.columns]
     sure = looked.filter(~_bit(h, n_bits)).select(*kept).withColumns(one)
     unsure = looked.filter(_bit(h, n_bits)).select(*kept)
-    live = unsure.join(per_key.select(order, "n_versions"), order) if versions else unsure.join(per_key.select(order), order, "left_semi")
+    live = unsure.join(per_key.select(order, "n_versions", f"first_{order}"), order) if versions else unsure.join(per_key.select(order), order, "left_semi")
     return sure.unionByName(live)

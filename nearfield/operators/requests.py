@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hmac
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -168,5 +168,46 @@ def strict(value: object, kind: type, default: object) -> object:
     return value if isinstance(value, kind) else default
 
 
-def environment(env: Mapping[str, str], name: str, default: str) -> str:
-    return env.get(name, default)
+def auth_token(env: Mapping[str, str]) -> str:
+    """The configured token of a mapping of settings; blanks alone mean none."""
+    return env.get("NEARFIELD_AUTH_TOKEN", "").strip()
+
+
+def check_startup(surface: str, host: str, env: Mapping[str, str]) -> str:
+    """What a surface may say of its authentication when it starts; raises ValueError if a token is required and missing.
+
+    The host is reported, and never taken for evidence that requests are local.
+    """
+    posture = startup_posture(auth_token(env), auth_required(env.get("NEARFIELD_REQUIRE_AUTH")))
+    if posture == "enabled":
+        return f"{surface}: bearer authentication enabled (bound to {host})"
+    return f"{surface}: UNAUTHENTICATED, every request that reaches {host} is served"
+
+
+class BearerGuard:
+    """An ASGI application behind a bearer token: http and websocket scopes without it get a 401, OPTIONS and all other
+    scopes pass. Without a token everything passes."""
+
+    def __init__(self, app: Callable, token: str):
+        self.app, self.token = app, token.strip()
+
+    async def __call__(self, scope: dict, receive: Callable, send: Callable) -> None:
+        guarded = self.token and scope["type"] in ("http", "websocket") and scope.get("method") != "OPTIONS"
+        if guarded and not token_matches(self._presented(scope), self.token):
+            if scope["type"] == "websocket":
+                await send({"type": "websocket.close", "code": 1008})
+                return
+            body = b'{"error": "unauthorized"}'
+            headers = [(b"content-type", b"application/json"), (b"content-length", str(len(body)).encode()), (b"www-authenticate", b"Bearer")]
+            await send({"type": "http.response.start", "status": 401, "headers": headers})
+            await send({"type": "http.response.body", "body": body})
+            return
+        await self.app(scope, receive, send)
+
+    @staticmethod
+    def _presented(scope: dict) -> str:
+        for name, value in scope.get("headers", []):
+            if name.lower() == b"authorization":
+                scheme, _, rest = value.decode("latin-1").partition(" ")
+                return rest.strip() if scheme.lower() == "bearer" else ""
+        return ""

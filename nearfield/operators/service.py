@@ -33,26 +33,31 @@ class VectorIndex:
     def index(self, namespace: str, items: DataFrame) -> int:
         """items (id, text, and optionally pos for the order in the batch); returns the items processed, repeats included."""
         pos = F.col("pos") if "pos" in items.columns else F.monotonically_increasing_id()
-        new = self.embed(items.select(F.lit(namespace).alias("namespace"), F.col("id").cast("string").alias("item_id"), pos.alias("pos"), "text")).persist()
-        n = new.count()
-        old = self.load()
-        top = old.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-        fresh = new.groupBy("namespace", "item_id").agg(F.max_by("vector", "pos").alias("vector"), (F.min("pos") + F.lit(top + 1)).alias("new_seq"))
-        kept = old.join(fresh.select("namespace", "item_id"), ["namespace", "item_id"], "left_anti")
-        seq = fresh.join(old.select("namespace", "item_id", "seq"), ["namespace", "item_id"], "left").select("namespace", "item_id", "vector", F.size("vector").alias("dim"), F.current_timestamp().alias("created_at"), F.coalesce("seq", "new_seq").alias("seq"))
-        self.store.publish(kept.select(*seq.columns).unionByName(seq))
-        new.unpersist()
-        return n
+        return self._upsert(self.embed(items.select(F.lit(namespace).alias("namespace"), F.col("id").cast("string").alias("item_id"), pos.alias("pos"), "text")))
 
     def upsert_vectors(self, rows: DataFrame) -> int:
-        """rows (namespace, item_id, vector) verbatim, as a migration does; returns their number."""
-        old = self.load()
-        top = old.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-        fresh = rows.groupBy("namespace", "item_id").agg(F.max("vector").alias("vector")).withColumn("new_seq", F.monotonically_increasing_id() + F.lit(top + 1))
-        kept = old.join(rows.select("namespace", "item_id"), ["namespace", "item_id"], "left_anti")
-        seq = fresh.join(old.select("namespace", "item_id", "seq"), ["namespace", "item_id"], "left").select("namespace", "item_id", "vector", F.size("vector").alias("dim"), F.current_timestamp().alias("created_at"), F.coalesce("seq", "new_seq").alias("seq"))
-        self.store.publish(kept.select(*seq.columns).unionByName(seq))
-        return rows.count()
+        """rows (namespace, item_id, vector, and optionally pos) verbatim, as a migration does; returns their number. Of a
+        repeated key the last row counts, by pos or else in the order the rows are read."""
+        pos = F.col("pos") if "pos" in rows.columns else F.monotonically_increasing_id()
+        return self._upsert(rows.select("namespace", "item_id", "vector", pos.alias("pos")))
+
+    def _upsert(self, rows: DataFrame) -> int:
+        """Replace the cells that the rows' keys lie in. A key that exists keeps its position, a new one takes the position
+        of its first row after all others."""
+        version = self.store.version()
+        rows = rows.select("namespace", "item_id", "vector", "pos").persist()
+        n = rows.count()
+        if n:
+            low, high = rows.agg(F.min("pos"), F.max("pos")).first()
+            top = self.store.manifest(version)["top"]
+            cells = self.store.cells_of(rows)
+            old = self.store.read(cells=cells)
+            fresh = rows.groupBy("namespace", "item_id").agg(F.max_by("vector", "pos").alias("vector"), (F.min("pos") - F.lit(low) + F.lit(top + 1)).alias("new_seq"))
+            kept = old.join(fresh.select("namespace", "item_id"), ["namespace", "item_id"], "left_anti")
+            now = fresh.join(old.select("namespace", "item_id", "seq"), ["namespace", "item_id"], "left").select("namespace", "item_id", "vector", F.size("vector").alias("dim"), F.current_timestamp().alias("created_at"), F.coalesce("seq", "new_seq").alias("seq"))
+            self.store.replace(cells, kept.select(*now.columns).unionByName(now), version, top + 1 + high - low)
+        rows.unpersist()
+        return n
 
     def search(self, namespace: str, query: str, limit: int = LIMITS.default_results, min_similarity: float = LIMITS.default_similarity) -> DataFrame:
         """An unknown or empty namespace gives no row without asking the provider."""
@@ -75,16 +80,20 @@ class VectorIndex:
         return search_resident(self._matrices[1], asked, limit, min_similarity)
 
     def remove(self, namespace: str, ids: list[str]) -> int:
-        old, keys = self.load(), self.spark.createDataFrame([(namespace, str(i)) for i in ids], "namespace string, item_id string")
+        version = self.store.version()
+        keys = self.spark.createDataFrame([(namespace, str(i)) for i in ids], "namespace string, item_id string")
+        cells = self.store.cells_of(keys)
+        old = self.store.read(cells=cells)
         n = remove_count(old, keys).first()[0]
         if n:
-            self.store.publish(remove(old, keys))
+            self.store.replace(cells, remove(old, keys), version)
         return n
 
     def purge(self, namespace: str) -> int:
-        n = self.count(namespace)
+        version, n = self.store.version(), self.count(namespace)
         if n:
-            self.store.publish(purge(self.load(), namespace))
+            cells = self.store.cells_of_namespace(namespace)
+            self.store.replace(cells, purge(self.store.read(cells=cells), namespace), version)
         return n
 
     def count(self, namespace: str) -> int:

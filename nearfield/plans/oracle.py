@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from nearfield.operators import requests as rq
-from nearfield.operators.providers import CATALOGUE
 
 # fixed cases: (endpoint, body)
 _ITEM = '{"id": "a", "text": "t"}'
@@ -133,10 +132,11 @@ SELECT rank, item_id, round(raw, 4) AS score FROM r WHERE rank <= 10""",
     "namespace_count": f"WITH {IDX} SELECT n.namespace, count(idx.seq) AS n FROM (VALUES ('default'), ('docs:handbook'), (''), ('no such namespace')) AS n(namespace) LEFT JOIN idx ON idx.namespace = n.namespace GROUP BY ALL",
     "oplog_fold": f"""WITH {OPS}, k AS (SELECT u.*, greatest(coalesce((SELECT max(op_seq) FROM ops r WHERE r.op = 'remove' AND r.namespace = u.namespace AND r.item_id = u.item_id), -1), coalesce((SELECT max(op_seq) FROM ops p WHERE p.op = 'purge' AND p.namespace = u.namespace), -1)) AS killed FROM ops u WHERE op = 'upsert')
 SELECT namespace, item_id, min(op_seq) AS seq, round(CAST(arg_max(CAST(value AS FLOAT), op_seq) AS DOUBLE), 3) AS value FROM k WHERE op_seq > killed GROUP BY namespace, item_id""",
-    "oplog_removed": f"""WITH {OPS}, keys AS (SELECT DISTINCT namespace, item_id FROM ops WHERE op <> 'purge'),
- t AS (SELECT op_seq, op, namespace, item_id FROM ops WHERE op <> 'purge' UNION ALL SELECT o.op_seq, o.op, o.namespace, k.item_id FROM ops o LEFT JOIN keys k USING (namespace) WHERE o.op = 'purge'),
- b AS (SELECT *, lag(op) OVER (PARTITION BY namespace, item_id ORDER BY op_seq) AS before FROM t)
-SELECT op_seq, count(*) FILTER (WHERE before = 'upsert') AS n_removed FROM b WHERE op <> 'upsert' GROUP BY op_seq""",
+    # for each remove and purge the keys that it names and that are live just before it
+    "oplog_removed": f"""WITH {OPS}, d AS (SELECT op_seq, namespace, CASE op WHEN 'remove' THEN item_id END AS item_id FROM ops WHERE op <> 'upsert'),
+ last AS (SELECT d.op_seq, o.item_id, arg_max(o.op, o.op_seq) AS op, max(o.op_seq) AS at FROM d JOIN ops o ON o.namespace = d.namespace AND o.op_seq < d.op_seq AND o.op <> 'purge' AND (d.item_id IS NULL OR d.item_id = o.item_id) GROUP BY ALL),
+ wiped AS (SELECT d.op_seq, max(o.op_seq) AS at FROM d JOIN ops o ON o.op = 'purge' AND o.namespace = d.namespace AND o.op_seq < d.op_seq GROUP BY d.op_seq)
+SELECT d.op_seq, count(*) FILTER (WHERE l.op = 'upsert' AND l.at > coalesce(w.at, -1)) AS n_removed FROM d LEFT JOIN last l USING (op_seq) LEFT JOIN wiped w USING (op_seq) GROUP BY d.op_seq""",
     "l2_guard": _components("CASE WHEN nn > 1e-9 THEN v[j + 1] / nn ELSE v[j + 1] END", "seq", "(SELECT seq, vector::DOUBLE[] AS v, sqrt(list_inner_product(vector::DOUBLE[], vector::DOUBLE[])) AS nn FROM vectors WHERE len(vector) > 0)", "len(v)"),
     "l2_clip": _components("v[j + 1] / greatest(nn, 1e-9::DOUBLE)", "seq", "(SELECT seq, vector::DOUBLE[] AS v, sqrt(list_inner_product(vector::DOUBLE[], vector::DOUBLE[])) AS nn FROM vectors WHERE len(vector) > 0)", "len(v)"),
     "pool_mean": f"WITH {TOKENS} " + _components("list_sum(list_transform(range(n), lambda i: CAST(e[i * 8 + j + 1] AS DOUBLE))) / n", "vec_id", "t", "8"),
@@ -163,7 +163,8 @@ SELECT qid, rank, CAST(doc_id AS VARCHAR) AS item_id, round(raw, 4) + 0::DOUBLE
     "embed_validate": f"""WITH r AS (SELECT DISTINCT request_id, texts FROM embed_requests), v AS (SELECT request_id, coalesce(len(texts), 0) AS n FROM r)
 SELECT CASE WHEN n = 0 OR n > 100 THEN 400 ELSE 200 END AS status, CASE WHEN n = 0 THEN {_text(rq.NO_TEXTS)} WHEN n > 100 THEN {_text(rq.TOO_MANY)} END AS error, count(DISTINCT request_id) AS n FROM v GROUP BY 1, 2""",
     "auth_decision": "SELECT case_id, CASE WHEN lower(split_part(h, ' ', 1)) = 'bearer' AND trim(substr(h, 8)) = 's3cret-token' THEN 200 ELSE 401 END AS status FROM (VALUES " + ", ".join(f"({i}, {_text(h)})" for i, h in enumerate(HEADERS)) + ") AS t(case_id, h)",
-    "provider_catalog": "SELECT * FROM (VALUES " + ", ".join(f"('{s.key}', {s.dims}, '{s.pooling}', '{s.normalise}')" for s in CATALOGUE.values()) + ") AS t(provider, dims, pooling, normalise)",
+    "provider_catalog": """SELECT * FROM (VALUES ('api_openai', 1536, 'remote', 'guard'), ('onnx_miniml', 384, 'mean', 'clip'), ('onnx_jina_v5_nano', 768, 'last', 'clip'),
+ ('onnx_bge_m3', 1024, 'cls', 'clip'), ('mlx_bge_m3', 1024, 'model', 'none'), ('hashing', 64, 'sum', 'clip')) AS t(provider, dims, pooling, normalise)""",
     "p6_found": "SELECT namespace FROM vectors GROUP BY namespace HAVING count(*) > 0.02::DOUBLE * (SELECT count(*) FROM vectors)",
     "p6_profile": f"""WITH {LIVE}, g AS (SELECT namespace, dim, CAST(sum(versions) AS BIGINT) AS n_rows, count(*) AS n_live, count(*) FILTER (WHERE ok) AS n_usable, max(seq) AS last_seq, arg_max(item_id, seq) AS last_item_id FROM l GROUP BY ALL),
  n AS (SELECT namespace, dim, round(sqrt(sum(mean * mean)), 6) AS mean_norm, round(max(mean) FILTER (WHERE pos = 0), 6) + 0::DOUBLE AS mean_0 FROM m GROUP BY ALL)
