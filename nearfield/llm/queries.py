@@ -140,11 +140,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_groups, p3_varied, p4_found, p4_knn, p5_found, p5_pieces, p5_tokens, p7_windows, p7_placed, p7_report, p8_mixture, p8_report, p8_capped, p8_within, p9_found, p9_restored)}
 
 
+# live usable rows, unit vectors in double precision
+USABLE = """live AS (SELECT * FROM vectors QUALIFY row_number() OVER (PARTITION BY namespace, item_id ORDER BY seq DESC) = 1),
+ w AS (SELECT namespace, item_id, seq, len(vector) AS dim, vector::DOUBLE[] AS v FROM live WHERE len(vector) > 0),
+ u AS (SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM w WHERE coalesce(isfinite(list_inner_product(v, v)) AND list_inner_product(v, v) > 0, false))"""
 SOURCE = r"regexp_replace(lower(trim({}, ' ')), '[\s\-]+', '_', 'g')"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": f"""WITH {USABLE} SELECT a.namespace, a.item_id AS item_a, b.item_id AS item_b FROM u a JOIN u b ON a.namespace = b.namespace AND a.dim = b.dim AND a.item_id < b.item_id
+WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.97""",
+        "p4_found": f"""WITH {USABLE}, s AS (SELECT p.probe_id, b.item_id, b.seq, list_inner_product(a.v, b.v) / (a.norm * b.norm) AS c
+ FROM knn_probes p JOIN u a ON a.namespace = p.namespace AND a.item_id = p.item_id JOIN u b ON b.namespace = a.namespace AND b.dim = a.dim AND b.seq <> a.seq WHERE a.dim = 128)
+SELECT probe_id, CAST(row_number() OVER (PARTITION BY probe_id ORDER BY c DESC, seq) AS INTEGER) AS place, item_id FROM s QUALIFY place <= 10""",
         "p5_found": "SELECT DISTINCT request_id, CAST(text_pos - 1 AS INTEGER) AS text_pos FROM (SELECT request_id, generate_subscripts(texts, 1) AS text_pos, unnest(texts) AS t FROM embed_requests) WHERE length(t) > 2000",
         # invariants: each text's tokens are placed once and whole; caps hold
         "p7_placed": "SELECT doc_id, 1 AS is_whole FROM documents WHERE text <> ''",
