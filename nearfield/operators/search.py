@@ -49,7 +49,8 @@ def search_batch(index: DataFrame, queries: DataFrame, k: int | None = None, min
     """(qid, rank, item_id, score) for queries (qid, namespace, vector), by joining them to the rows of their namespace and
     dimension and keeping k a task before the exchange."""
     q = queries.select("qid", F.col("namespace").alias("_ns"), F.col("vector").alias("_q"), F.size("vector").alias("_dim"))
-    if queries.count() <= MAX_BROADCAST_QUERIES:
+    n = queries.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.greatest(F.size("vector"), F.lit(0))), F.lit(0)).alias("floats")).first()
+    if n.rows <= MAX_BROADCAST_QUERIES and 4 * n.floats <= MAX_BROADCAST_BYTES:
         q = F.broadcast(q)
     rows = index.select("namespace", "item_id", "seq", "vector", F.size("vector").alias("dim"))
     scored = rows.join(q, F.col("namespace").eqNullSafe(F.col("_ns")) & (F.col("dim") == F.col("_dim"))).select("qid", "item_id", "seq", dot(F.col("vector"), F.col("_q")).alias("raw")).filter("raw IS NOT NULL")
@@ -107,6 +108,7 @@ def matrix_blocks(index: DataFrame, block_rows: int = 8192) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[tuple, list] = {}
+        waiting = 0
 
         def close(key: tuple) -> pa.RecordBatch:
             ids, seqs, mats = zip(*open_.pop(key), strict=True)
@@ -125,8 +127,15 @@ def matrix_blocks(index: DataFrame, block_rows: int = 8192) -> DataFrame:
                 for s in range(0, len(rows), block_rows):
                     r = rows[s : s + block_rows]
                     open_.setdefault(key, []).append((column(b, "item_id").take(pa.array(r)), seq[r], val[start[r][:, None] + np.arange(key[1])]))
+                    waiting += len(r)
                     if sum(len(x[1]) for x in open_[key]) >= block_rows:
+                        waiting -= sum(len(x[1]) for x in open_[key])
                         yield close(key)
+            if waiting > 8 * block_rows:
+                # many namespaces in one task: their blocks stay smaller rather than all open
+                for key in list(open_):
+                    yield close(key)
+                waiting = 0
         for key in list(open_):
             yield close(key)
 
