@@ -144,11 +144,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 USABLE = """live AS (SELECT * FROM vectors QUALIFY row_number() OVER (PARTITION BY namespace, item_id ORDER BY seq DESC) = 1),
  w AS (SELECT namespace, item_id, seq, len(vector) AS dim, vector::DOUBLE[] AS v FROM live WHERE len(vector) > 0),
  u AS (SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM w WHERE coalesce(isfinite(list_inner_product(v, v)) AND list_inner_product(v, v) > 0, false))"""
+#: Clusters as the least seq that a chain of links leads to; so many links of a chain at most are followed.
+CHAIN = 10
+CLUSTERS = (
+    f"""WITH {USABLE}, x AS MATERIALIZED (SELECT namespace, item_id, seq, CAST(list_transform(v, lambda y: y / norm) AS DOUBLE[128]) AS x FROM u WHERE dim = 128),
+ e AS MATERIALIZED (SELECT a.seq AS a, b.seq AS b FROM x a JOIN x b ON array_inner_product(a.x, b.x) >= 0.5),
+ l0 AS MATERIALIZED (SELECT a, min(b) AS l FROM e GROUP BY a)"""
+    + "".join(f",\n l{i} AS MATERIALIZED (SELECT e.a, min(l) AS l FROM e JOIN l{i - 1} ON l{i - 1}.a = e.b GROUP BY e.a)" for i in range(1, CHAIN))
+    + f",\n c AS (SELECT namespace, item_id, l, count(*) OVER (PARTITION BY l) AS n FROM x JOIN l{CHAIN - 1} ON a = seq)"
+)
 SOURCE = r"regexp_replace(lower(trim({}, ' ')), '[\s\-]+', '_', 'g')"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": CLUSTERS + " SELECT namespace, item_id, l AS cluster_seq FROM c WHERE n >= 8",
         "p2_found": f"""WITH {USABLE} SELECT a.namespace, a.item_id AS item_a, b.item_id AS item_b FROM u a JOIN u b ON a.namespace = b.namespace AND a.dim = b.dim AND a.item_id < b.item_id
 WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.97""",
         "p4_found": f"""WITH {USABLE}, s AS (SELECT p.probe_id, b.item_id, b.seq, list_inner_product(a.v, b.v) / (a.norm * b.norm) AS c
