@@ -249,7 +249,7 @@ class Block:
 
 
 
-def nearest(log: DataFrame, is_query: Column, k: int = 10, m: int = 10, stop: float = 0.95, leaf: int = 256, block_rows: int = 32_768, sample_rows: int = 65_536, dims: tuple[int, ...] | None = None) -> DataFrame:
+def nearest(log: DataFrame, is_query: Column, k: int = 10, m: int = 10, stop: float = 0.95, leaf: int = 256, block_rows: int = 32_768, sample_rows: int = 32_768, dims: tuple[int, ...] | None = None) -> DataFrame:
     """For each live usable row that satisfies `is_query`, the k items of its namespace and dimension of highest cosine.
 
     log: namespace, item_id, vector, seq (other columns are ignored). A key's row of highest seq is its live one, usable or

@@ -1,5 +1,7 @@
 """Vector operators against brute force, with nulls, ties, repeats, hot groups and empty tables."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +10,9 @@ from nearfield.llm import blocks
 from nearfield.llm.components import components
 from nearfield.llm.diverse import greedy_determinant, varied_subset
 from nearfield.llm.mixture import similarity_clusters
-from nearfield.llm.near_copies import VantageTree, fingerprints, hamming, near_copy_groups, near_copy_pairs, radius
-from nearfield.llm.neighbours import ProjectedTree, chi2_quantile, nearest
+from nearfield.llm.near_copies import VantageTree, fingerprints, hamming, near_copy_classes, near_copy_groups, near_copy_pairs, radius
+from nearfield.llm.neighbours import Layout, ProjectedTree, chi2_quantile, nearest
+from nearfield.llm.probes import Probes
 
 SCHEMA = "namespace string, item_id string, seq long, vector array<float>"
 DIRT = [("a", "null", 9001, None), ("a", "empty", 9002, []), ("a", "zero", 9003, [0.0] * 8), ("a", "nan", 9004, [float("nan")] * 8), ("a", "inf", 9005, [float("inf")] * 8), ("a", "hole", 9006, [None] + [1.0] * 7), (None, None, 9007, [1.0] * 8), (None, "x", 9008, [1.0] * 8), ("a", "no seq", None, [1.0] * 8)]
@@ -58,6 +61,34 @@ def test_chi2_quantile():
     assert chi2_quantile(0.5, 2) == pytest.approx(1.3863, abs=1e-3)
 
 
+def test_layout_excludes_no_near_block():
+    rng = np.random.default_rng(3)
+    centre = unit(rng.normal(size=(12, 32)))
+    x = unit(centre[rng.integers(0, 12, 6000)] + 0.02 * rng.normal(size=(6000, 32))).astype(np.float32)
+    lay = Layout(x[::6], len(x), 400, 10)
+    home = lay.home(x, np.arange(len(x)))
+    assert len(np.unique(home)) > 8 and np.bincount(home).max() < 1200
+    q = np.arange(0, 6000, 60)
+    who, block = lay.visits(x[q], 10, chi2_quantile(0.95, 10))
+    reach = set(zip(who.tolist(), block.tolist()))
+    near = np.argsort(-(x[q] @ x.T), axis=1)[:, 1:11]
+    met = [(i, int(home[j])) in reach for i in range(len(q)) for j in near[i]]
+    assert np.mean(met) >= 0.97 and len(reach) < 0.7 * len(q) * len(np.unique(home))
+    same = Layout(np.tile(x[:1], (100, 1)), 5000, 400, 10)  # nothing to part: cut by a hash
+    assert len(np.unique(same.home(np.tile(x[:1], (5000, 1)), np.arange(5000)))) == 13
+
+
+def test_probes_equal_a_full_product():
+    rng = np.random.default_rng(2)
+    centre = unit(rng.normal(size=(5, 24))).astype(np.float32)
+    x = unit(np.concatenate([centre[rng.integers(0, 5, 3000)] + 0.1 * rng.normal(size=(3000, 24)), rng.normal(size=(1500, 24))])).astype(np.float32)
+    p = x[::7]
+    want = set(zip(*(v.tolist() for v in np.nonzero(x @ p.T >= 0.5))))
+    for c in (None, centre):
+        assert {(int(a), int(b)) for i, j in Probes(p, 0.5, c).hits(x) for a, b in zip(i, j)} == want
+    assert not list(Probes(p[:0], 0.5, centre).hits(x)) and not list(Probes(p, 0.5, centre).hits(x[:0]))
+
+
 def test_projected_tree_recall():
     rng = np.random.default_rng(1)
     x = unit(rng.normal(size=(4000, 64))).astype(np.float32)
@@ -68,11 +99,12 @@ def test_projected_tree_recall():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(got, true)]) >= 0.9
 
 
-@pytest.mark.parametrize("block_rows", [32_768, 40])
-def test_nearest_equals_brute_force(log, rows, block_rows):
+@pytest.mark.parametrize("block_rows, sample_rows", [(32_768, 100), (40, 10_000), (40, 0)])
+def test_nearest_equals_brute_force(log, rows, block_rows, sample_rows):
+    """In one block, in blocks by a layout, and without a sample to lay them out on."""
     k = 6
     got = {}
-    for r in nearest(log, F.col("seq") % 4 == 0, k=k, stop=0.9999, leaf=16, block_rows=block_rows).collect():
+    for r in nearest(log, F.col("seq") % 4 == 0, k=k, stop=0.9999, leaf=16, block_rows=block_rows, sample_rows=sample_rows).collect():
         got.setdefault(r.query_seq, []).append((r.place, r.item_id, r.seq))
     alive = live(rows)
     true = {}
@@ -113,10 +145,16 @@ def pairs(rows, least):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [32_768, 30, 8])
-def test_near_copy_pairs_equal_brute_force(log, rows, block_rows):
-    got = {tuple(r) for r in near_copy_pairs(log, 0.97, block_rows=block_rows, sample_rows=64).collect()}
+@pytest.mark.parametrize("block_rows, sample_rows", [(32_768, 64), (30, 64), (8, 64), (30, 0)])
+def test_near_copy_pairs_equal_brute_force(log, rows, block_rows, sample_rows):
+    got = {tuple(r) for r in near_copy_pairs(log, 0.97, block_rows=block_rows, sample_rows=sample_rows).collect()}
     assert got == pairs(rows, 0.97)
+    members, links, degrees = near_copy_classes(log, 0.97, block_rows=block_rows, sample_rows=sample_rows, stars=True)
+    group = {r.node: r.component for r in components(links).collect()}
+    every = near_copy_classes(log, 0.97, block_rows=block_rows, sample_rows=sample_rows)[1].collect()
+    n = Counter(x for p in every for x in p)
+    assert {r.cls: r.n_links for r in degrees.collect()} == n and set(group) == set(n)
+    assert all(group[a] == group[b] for a, b in every) and links.count() <= len(every)
 
 
 def test_near_copy_groups(log, rows):
