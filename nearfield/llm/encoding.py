@@ -313,6 +313,20 @@ class Detector:
         for (j, k), u, g in zip(tries, undone, gain.tolist(), strict=True):
             if g > self.swap_margin and (j not in best or score[j, k] > best[j][0]) and self._more_words(before[j], u, g):
                 best[j] = (float(score[j, k]), k, u)
+        # a document that was read wrongly in one sentence most likely was in others: there less evidence will do
+        chain_of: dict[int, Counter] = {}
+        for j, (_, k, _) in best.items():
+            chain_of.setdefault(spans[j][0], Counter())[k] += 1
+        more: list[tuple[int, int, str]] = []
+        for j, (i, _, _) in enumerate(spans):
+            if i in chain_of and j not in best:
+                k = chain_of[i].most_common(1)[0][0]
+                u = self.undo_swap(before[j], k)
+                if u is not None and u != before[j]:
+                    more.append((j, k, u))
+        if more:
+            gain = self.m.scores([u for *_, u in more])[:, 0] - score[[j for j, *_ in more], 0]
+            best |= {j: (0.0, k, u) for (j, k, u), g in zip(more, gain.tolist(), strict=True) if g > 0}
         for j in sorted(best, reverse=True):
             i, a, b = spans[j]
             now[i] = now[i][:a] + best[j][2] + now[i][b:]
