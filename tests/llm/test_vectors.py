@@ -240,6 +240,17 @@ def test_clusters_that_no_sample_shows(spark):
     assert {c for c, _ in places} == set(true.values()) and all((c, p) in places for c in (560, 568, 576) for p in range(1, 9))
 
 
+def test_clusters_joined_by_ordinary_members_alone(spark):
+    """A member at the edge of one topic is near a member at the edge of another, and near none of its representatives."""
+    rng, d = np.random.default_rng(12), 96
+    a, b, e = np.linalg.qr(rng.normal(size=(d, 3)))[0].T
+    v = [unit(c + 0.04 * rng.normal(size=d)) for c in (a, b) for _ in range(60)] + [*unit(rng.normal(size=(300, d)))]
+    v += [0.6 * a + 0.8 * e, 0.6 * b + 0.8 * e]
+    rows = [("n", f"i{i}", i, x.astype(np.float32).tolist()) for i, x in enumerate(v)]
+    members, _, _ = similarity_clusters(spark.createDataFrame(rows, SCHEMA), link=0.5, width=d)
+    assert {r.item_id: r.cluster_seq for r in members.collect()} == {f"i{i}": 0 for i in [*range(120), 420, 421]}
+
+
 def test_greedy_determinant_is_greedy():
     rng = np.random.default_rng(4)
     b = rng.normal(size=(30, 12))
