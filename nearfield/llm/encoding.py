@@ -388,7 +388,7 @@ def corpus_statistics(docs: DataFrame, known_least: int = 3) -> tuple[set[str],
     texts = docs.select("text").filter(F.col("text").rlike(r"[^\x00-\x7f]"))
     chars = texts.select(F.explode(F.array_distinct(F.split(F.regexp_replace("text", r"[\x00-\x7f]+", ""), ""))).alias("c"))
     known = {r.c for r in chars.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= known_least).collect()}
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}'’]+|(?<![\p{L}\p{M}])['’]|['’](?![\p{L}\p{M}])"))).alias("w")).filter("w <> ''")
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}'’]+|['’](?:(?<![\p{L}\p{M}].)|(?![\p{L}\p{M}]))"))).alias("w")).filter("w <> ''")
     got = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(WORD_BUCKETS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     counts = np.zeros(WORD_BUCKETS, np.int32)
     counts[got["b"].to_numpy()] = np.minimum(got["n"].to_numpy(), np.iinfo(np.int32).max)
