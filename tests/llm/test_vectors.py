@@ -89,6 +89,32 @@ def test_probes_equal_a_full_product():
     assert not list(Probes(p[:0], 0.5, centre).hits(x)) and not list(Probes(p, 0.5, centre).hits(x[:0]))
 
 
+def test_probes_bound_most_pairs_of_rows_near_a_centre():
+    """Scattered probes against topics and scattered rows, a few pairs planted about the threshold: all are found, few products made."""
+    rng, d = np.random.default_rng(12), 128
+    scale = np.where(np.arange(d) % 3 > 0, 1, 0.3)
+    c = unit(rng.normal(size=(4, d)) * scale).astype(np.float32)
+    x = unit(c[rng.integers(0, 4, 3000)] * 0.865 + 0.5 * unit(rng.normal(size=(3000, d)) * scale))
+    p = unit(rng.normal(size=(1500, d)) * scale)
+    for i, cosine_to in enumerate(np.concatenate([np.linspace(0.45, 0.55, 60), np.full(20, 0.5)])):
+        off = unit(p[i] - p[i] @ x[i] * x[i])
+        p[i] = cosine_to * x[i] + np.sqrt(1 - cosine_to**2) * off
+    x, p = np.concatenate([x, p[1000:]]).astype(np.float32), p.astype(np.float32)
+    made = []
+
+    class Counted(Probes):
+        def _tiles(self, x, p, *more):
+            made.append(len(x) * len(p))
+            return super()._tiles(x, p, *more)
+
+    a, b = (m.astype(float) for m in (x, p))
+    want = set(zip(*(w.tolist() for w in np.nonzero(unit(a) @ unit(b).T >= 0.5 - 1e-12)), strict=True))
+    got = {(int(i), int(j)) for rows, of in Counted(p, 0.5, c).hits(x) for i, j in zip(rows, of, strict=True)}
+    sure = {(i, j) for i, j in want if unit(a[i]) @ unit(b[j]) >= 0.5 + 1e-12}
+    assert sure <= got <= want and len(got) > 500
+    assert sum(made) < 0.2 * len(x) * len(p)
+
+
 def test_projected_tree_recall():
     rng = np.random.default_rng(1)
     x = unit(rng.normal(size=(4000, 64))).astype(np.float32)
