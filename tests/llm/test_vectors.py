@@ -309,3 +309,27 @@ def test_varied_subset_weighs_a_rare_topic_by_all_rows(spark):
     got = sorted(varied_subset(spark.createDataFrame(rows + rows[:3], SCHEMA), 3, sample=20).collect())
     assert got[0].seq >= 1500 and got[0].gain == pytest.approx(1, abs=1e-3)
     assert all(r.seq < 1500 and r.gain < 0.5 for r in got[1:])
+
+
+def test_varied_subset_doesn_t_depend_on_the_sample(spark):
+    """A row whose only neighbours are three of an arm that a large topic settles, and one with a redelivered neighbour."""
+    rng, d = np.random.default_rng(14), 96
+    c = np.eye(d)
+    v = [c[1], *(unit(0.75 * c[0] + 0.66 * c[1] + 0.01 * rng.normal(size=d)) for _ in range(3))]
+    v += [unit(c[0] + 0.02 * rng.normal(size=d)) for _ in range(80)] + [*unit(rng.normal(size=(40, d)))]
+    v += [c[2], unit(c[2] + 0.5 * c[3])]
+    rows = [("n", f"i{i}", i, x.astype(np.float32).tolist()) for i, x in enumerate(v)]
+    log = spark.createDataFrame(rows + 3 * rows[-1:], SCHEMA)
+    near = unit(np.array(v)) @ unit(np.array(v)).T >= 0.5
+    got = {n: {r.seq: (r.place, r.gain) for r in varied_subset(log, len(rows), sample=n).collect()} for n in (20, 4096)}
+    assert near[0].sum() == 4 and near[-1].sum() == 2 and got[20][0] == (1, pytest.approx(1))
+    assert set(got[20]) == set(got[4096]) == set(range(len(rows)))
+    assert all(got[20][s] == (place, pytest.approx(gain, abs=1e-4)) for s, (place, gain) in got[4096].items())
+    pair = spark.createDataFrame(3 * [rows[-1]] + [rows[-2]], SCHEMA)
+    assert max(r.gain for r in varied_subset(pair, 1).collect()) == pytest.approx(0.8**2, abs=1e-3)
+
+
+def test_varied_subset_takes_a_sharpness_for_all_dimensions(spark):
+    rows = [("n", f"i{i}", i, [1.0, 0.0, 0.0]) if i else ("m", "i0", 0, [0.0, 1.0, 0.0]) for i in range(2)]
+    gain = [min(r.gain for r in varied_subset(spark.createDataFrame(rows, SCHEMA), 2, sharpness=s, sample=0, lonely=1.0).collect()) for s in (1.0, 4.0)]
+    assert gain == pytest.approx([1 - (0.7 * np.exp(-s)) ** 2 for s in (1, 4)], abs=1e-5)
