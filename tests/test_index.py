@@ -12,6 +12,7 @@ from nearfield.functions.codec import decode_blob, encode_vector
 from nearfield.operators import index as ix
 from nearfield.operators.backfill import backfill, summary
 from nearfield.operators import live
+from nearfield.operators import search as search_operators
 from nearfield.operators.live import live_rows
 from nearfield.operators.search import clamp, matrix_blocks, search, search_batch, search_blocks, search_resident
 from nearfield.operators.service import VectorIndex
@@ -106,6 +107,35 @@ def test_search_orders_equal_vectors_by_position(spark):
                 assert all([x for x in y if x in tied] == tied[: k - ("inf" in y)] for y in by.values()) and len(by) == 9
 
 
+def test_search_cells(spark, monkeypatch):
+    """More queries than are sent to all tasks meet the index in cells: no join of rows, whatever the sizes of cells and lookups."""
+    rng = np.random.default_rng(4)
+    names = ["large", "large", "large", "", None, "other"]
+    rows = [(names[i % 6], f"i{i}", rng.normal(size=4 if i % 7 else 2).astype(np.float32).tolist(), i) for i in range(300)]
+    rows += [("large", f"copy{i}", rows[1][2], 1000 + i) for i in range(60)]  # one vector, in all slices
+    rows += [("large", "nan", [float("nan")] * 4, 5000), ("large", "null", None, 5001), ("large", "none", [], 5002)]
+    queries = [(i, names[i % 6], rng.normal(size=4 if i % 5 else 2).astype(np.float32).tolist()) for i in range(90)]
+    queries += [(90, "large", rows[1][2]), (91, "nowhere", [1.0, 0.0]), (92, "large", []), (93, "large", None), (94, "large", [1.0])]
+    index, asked = spark.createDataFrame(rows, LOG).repartition(3), spark.createDataFrame(queries, "qid long, namespace string, vector array<float>")
+    want = brute([r for r in rows if r[2] and not any(x != x for x in r[2])], [x for x in queries if x[2]], 5, 0.0)
+    monkeypatch.setattr(search_operators, "MAX_BROADCAST_QUERIES", 10)
+    monkeypatch.setattr(search_operators, "search_batch", None)
+    for queries_a_cell, rows_a_cell, groups in ((8192, 32768, 10_000), (7, 20, 10_000), (40, 9, 0)):
+        for n, v in (("CELL_QUERIES", queries_a_cell), ("CELL_ROWS", rows_a_cell), ("MAX_BROADCAST_GROUPS", groups)):
+            monkeypatch.setattr(search_operators, n, v)
+        got = search_blocks(index, asked, 5, 0.0).collect()
+        assert {(r.qid, r["rank"], r.item_id, r.score) for r in got} == want and len(got) == len(want)
+    assert search_blocks(index, asked, 0, 0.0).count() == 0
+    q, m = (rng.normal(size=(n, 37)).astype(np.float32) for n in (20, 90))
+    total = 0
+    for x, y in zip(q[0].tolist(), m[0].tolist(), strict=True):
+        total += x * y
+    assert search_operators._dots(q[:1], m[:1]).tolist() == [total]
+    whole = search_operators._best(q, m, 5, 0.0)
+    monkeypatch.setattr(search_operators, "TILE", 300)
+    assert len(list(search_operators._best_tiles(q, m, 5, 0.0))) == 7 and all((x == y).all() for x, y in zip(whole, search_operators._best(q, m, 5, 0.0), strict=True))
+
+
 def test_search_limits(spark):
     df = spark.createDataFrame([("n", f"i{i}", [1.0, 0.0], i) for i in range(20)], LOG)
     assert [r.item_id for r in search(df, "n", [1.0, 0.0], 5, 0.0).collect()] == [f"i{i}" for i in range(5)]
